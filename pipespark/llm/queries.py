@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash
+from . import bpe, fingerprint, mixing, sharding, simhash, warc
 from .common import Workspace, table
 
 
@@ -18,6 +18,26 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark)
+    path = work.path("warc")
+    warc.write(table(spark, sf_dir, "pages"), path, work)
+    got = warc.read(spark, path, work)
+    page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("bigint")
+    again = F.col("type") == "revisit"  # it has no block: length and digest are what its header says of the payload
+    return got.select(
+        page("id").alias("page_id"),
+        F.when(again, F.col("said_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(again, F.regexp_replace("said_digest", "^sha1:", "")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        page("refers").alias("refers_to"),
+    )
+
+
+def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(table(spark, sf_dir, "documents"), Workspace(spark), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,6 +58,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_chain": op2_warc_chain,
+    "op4_canonical_digest": op4_canonical_digest,
     "op6_byte_shards": op6_byte_shards,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_entropy_mixing": op9_entropy_mixing,
