@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, mixing, sharding, simhash, warc
+from . import bpe, embeddings, fingerprint, mixing, sharding, simhash, warc
 from .common import Workspace, table
 
 
@@ -47,6 +47,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op8_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), Workspace(spark))
+
+
 def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), Workspace(spark))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_canonical_digest": op4_canonical_digest,
     "op6_byte_shards": op6_byte_shards,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pivot_join": op8_pivot_join,
     "op9_entropy_mixing": op9_entropy_mixing,
     "op10_simhash": op10_simhash,
 }
