@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprint, mixing, sharding, simhash, warc
-from .common import Workspace, table
+from . import bpe, embeddings, fingerprint, langid, mixing, quality, sharding, simhash, warc
+from .common import Workspace, id_crc, table
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -34,10 +34,21 @@ def op2_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+
+
 def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = id_crc() % 5 == 0
+    out = langid.identify(docs.select("doc_id", "text"), langid.learn(docs, ~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(table(spark, sf_dir, "documents"), Workspace(spark), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,7 +74,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_chain": op2_warc_chain,
+    "op3_importance": op3_importance,
     "op4_canonical_digest": op4_canonical_digest,
+    "op5_byte_cnn": op5_byte_cnn,
     "op6_byte_shards": op6_byte_shards,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pivot_join": op8_pivot_join,

@@ -1,0 +1,134 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+from pipespark.llm import langid, quality, queries
+from pipespark.llm.common import Workspace
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_languages_of_whole_table(spark):
+    docs = {d.doc_id: d for d in queries.table(spark, SF, "documents").collect()}
+    got = queries.op5_byte_cnn(spark, SF).collect()
+    assert len(got) == len(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in held]) > 0.97
+
+
+def test_odd_texts_have_languages_or_none(spark):
+    rows = [(i, t * 30, lang, "c") for i, (t, lang) in enumerate([("the cat and the dog ", "en"), ("der hund und die katze ", "de")] * 40)]
+    odd = [(100, None, "en"), (101, "", "en"), (102, "123 !!! \n", "en"), (103, "日本語", None), (104, "and " * 60_000, None), (105, "é", "de"), (None, "und die", None)]
+    df = spark.createDataFrame(rows + [(*r, "c") for r in odd], "doc_id long, text string, lang string, lang_pred string")
+    model = langid.learn(df, F.col("doc_id") < 80)
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert len(got) == len(rows) + len(odd)
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (100, 101, 102))
+    assert got[103].lang_pred in ("de", "en") and got[105].lang_pred in ("de", "en")
+    assert got[104].lang_pred == "en" and got[None].lang_pred == "de"
+    assert all(got[i].lang_pred == lang for i, _, lang, _ in rows)
+    assert langid.learn(df, F.lit(False)) is None
+    assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
+    assert langid.identify(df.limit(0), model).count() == 0
+
+
+def test_windows_equal_a_plain_convolution():
+    rng = np.random.default_rng(1)
+    model = langid.Model(["a", "b"], [rng.normal(size=(w, langid.KINDS, langid.FILTERS)) for w in langid.WIDTHS], rng.normal(size=24), rng.normal(size=(24, 2)), rng.normal(size=2))
+    texts = [b"short", rng.integers(0, 256, 700).astype(np.uint8).tobytes(), b"x" * 256]
+    at = np.cumsum([0] + [len(t) for t in texts])
+    names, scores = langid.predict(model, model.tables(), np.frombuffer(b"".join(texts), np.uint8), at)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        total = np.zeros(2)
+        for s in range(0, len(t), langid.WINDOW):
+            x = langid.window_symbols(t, s)
+            top = [max((sum(k[j, x[i + j]] for j in range(w)) for i in range(len(x) - w + 1)), key=lambda v: v[f])[f] for k, w in zip(model.kernels, langid.WIDTHS, strict=True) for f in range(langid.FILTERS)]
+            z = np.maximum(np.array(top) + model.bias, 0) @ model.weights + model.offset
+            p = np.exp(z - z.max())
+            total += p / p.sum() * len(t[s : s + langid.WINDOW])
+        assert name == "ab"[int(total.argmax())]
+        assert abs(score - total.max() / len(t)) < 1e-6
+
+
+def plain_ngrams(text):
+    """Tokens and pairs as tuples of lower-cased byte strings."""
+    data = re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())
+    t = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x20\x09-\x0d]+", data)
+    return [(x,) for x in t] + list(zip(t, t[1:], strict=False))
+
+
+def test_ngrams_equal_plain_ones():
+    texts = ["", "The cat, the CAT!!", "é a_b\tc  d...", " ", "***", "a" * 9000 + " b"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0] + [len(t.encode()) for t in texts])
+    text, bucket = quality.ngrams(data, at, 1 << 60)
+    seen = {}
+    for i, t in enumerate(texts):
+        want = Counter(plain_ngrams(t))
+        got = Counter(bucket[text == i].tolist())
+        assert sorted(want.values()) == sorted(got.values())
+        for k, n in want.items():
+            seen.setdefault(k, set()).update(b for b, m in got.items() if m == n)
+    one = lambda t: quality.ngrams(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 1 << 60)[1].tolist()
+    assert one(b"The cat") == one(b"THE  CAT") and one(b"the cat")[:2] == [one(b"the")[0], one(b"cat")[0]]
+    assert one(b"the cat") != one(b"cat the")
+
+
+def brute_weights(docs, target):
+    every, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    grams = {}
+    for k, t in docs:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        grams[k] = quality.ngrams(raw, np.array([0, len(raw)]))[1]
+        every += np.bincount(grams[k], minlength=quality.BUCKETS)
+        if k in target:
+            good += np.bincount(grams[k], minlength=quality.BUCKETS)
+    r = np.log((good + 1) / (good.sum() + quality.BUCKETS)) - np.log((every + 1) / (every.sum() + quality.BUCKETS))
+    return {k: (len(g), r[g].sum()) for k, g in grams.items()}
+
+
+def test_importance_of_whole_table(spark):
+    docs = [(d.doc_id, d.text) for d in queries.table(spark, SF, "documents").collect()]
+    labels = queries.table(spark, SF, "labels").collect()
+    want = brute_weights(docs, {r.doc_id for r in labels if r.quality == 1 and r.toxic == 0})
+    got = queries.op3_importance(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        n, w = want[r.doc_id]
+        assert r.n_grams == n and abs(r.log_weight - w) < 1e-6 * max(1, n)
+    k = round(len(docs) * sum(r.quality for r in labels) / len(labels))
+    ranked = sorted(got, key=lambda r: (-r.gumbel_key, r.doc_id))
+    assert [r.selected for r in ranked] == [True] * k + [False] * (len(docs) - k)
+    by = {r.doc_id: r for r in got}
+    rejected = lambda q: np.mean([not by[r.doc_id].selected for r in labels if r.quality == q])
+    assert rejected(0) > 0.9 and rejected(1) < 0.05
+    again = {r.doc_id: r.gumbel_key for r in queries.op3_importance(spark, SF).collect()}
+    assert again == {r.doc_id: r.gumbel_key for r in got}
+
+
+def test_gumbel_draws_in_proportion_to_the_weights(spark):
+    """Of two kinds of rows whose weights differ by log 3, the first place falls to the heavier three times as often."""
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    ratio = np.zeros(quality.BUCKETS)
+    rows = quality.weigh(df, ratio).select("gumbel_key").toPandas()["gumbel_key"].to_numpy()
+    assert abs(rows.mean() - 0.5772) < 0.03
+    light, heavy = rows[:20_000], rows[20_000:] + np.log(3)
+    assert abs((heavy > light).mean() - 0.75) < 0.02
+
+
+def test_top_k_ties_and_odd_rows(spark):
+    rng = np.random.default_rng(0)
+    vals = [float(x) for x in rng.integers(0, 6, 300)] + [1e300, -1e300, 0.1 + 0.2, 0.3]
+    df = spark.createDataFrame([(i * 7 % 1009, v) for i, v in enumerate(vals)], "doc_id long, v double").cache()
+    rows = sorted(df.collect(), key=lambda r: (-r.v, r.doc_id))
+    for k in (0, 1, 2, 50, 151, 303, 304, 999):
+        got = {r.doc_id for r in quality.top_k(df, k, "v", "doc_id").collect() if r.selected}
+        assert got == {r.doc_id for r in rows[:k]}
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "word " * 50_000, "x"), (None, "b", "x")], "doc_id long, text string, selected string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.resample(odd, none, Workspace(spark)).collect()
+    assert len(got) == 5 and all(r.selected and r.log_weight == 0 for r in got)
+    assert quality.resample(odd.limit(0), none, Workspace(spark)).count() == 0
