@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprint, langid, mixing, quality, sharding, simhash, warc
+from . import bpe, embeddings, fingerprint, langid, lm, mixing, quality, sharding, simhash, warc
 from .common import Workspace, id_crc, table
 
 
@@ -18,6 +18,10 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), id_crc() % 7 != 2, Workspace(spark))
+
+
 def op2_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     path = work.path("warc")
@@ -73,6 +77,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hidden_markov": op1_hidden_markov,
     "op2_warc_chain": op2_warc_chain,
     "op3_importance": op3_importance,
     "op4_canonical_digest": op4_canonical_digest,
