@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -146,10 +147,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             codec = _codec_of(shared)
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                got = [codec.encode(x) for x in part.column(part.num_columns - 1).to_pylist()]
-                flat = np.fromiter((x for g in got for x in g), np.int32)
+                found = [codec.pieces(x) for x in part.column(part.num_columns - 1).to_pylist()]
+                codec.learn(set().union(*found))
+                got = [np.fromiter(itertools.chain.from_iterable(map(codec.cache.__getitem__, p)), np.int32) for p in found]
                 at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+                column = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*part.schema.names[:-1], ids])
 
     return df.withColumn(spare, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, schema)

@@ -11,6 +11,10 @@ Rows are first reduced to distinct fingerprints, so a group of copies of any siz
 members reach one task in blocks of bounded size (a larger bucket becomes a grid of block pairs), which returns
 the bucket's spanning forest of links, never its pairs.
 
+``near_duplicates`` links by fingerprints alone.  ``similar_groups`` finds candidates in the same way, by several
+fingerprints of the texts' distinct words, which differ in few bits for texts that share most passages, and then
+compares the candidates' sets of word shingles exactly.
+
 Edge cases: a null, empty or wordless text has fingerprint zero and links like any other.  A text with fewer
 words than a shingle is one shingle.  Ties in the vote (exactly half) give 0.  A null id takes part, but can
 only name a component if all its rows have null ids.  Other columns play no part.
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, batch, chunks, utf8, words
-from .components import components
+from .components import components, roots
 
 #: Rows of a bucket that a task compares at once (twice this, for a pair of blocks).
 BLOCK = 2048
@@ -150,9 +154,12 @@ def _forest_of_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
 def near_links(points: DataFrame, work: Workspace, radius: int = 4, block: int = BLOCK) -> DataFrame:
     """(a, b): of each bucket of each covering table, a spanning forest of the pairs of points within the radius.
 
-    points: columns id, fp of bigint, with distinct fp.  The forests' union has the same components as all links.
+    points: columns id, fp of bigint, with distinct fp; with a column p, there is a set of tables for each p, and fp is
+    distinct in each.  The forests' union has the same components as all links.
     """
-    tables = F.array(*[F.struct(F.lit(i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(radius))])
+    of = masks(radius)
+    which = F.col("p") * len(of) if "p" in points.columns else F.lit(0)
+    tables = F.array(*[F.struct((which + i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(of)])
     rows = points.select("id", "fp", F.explode(tables).alias("x")).select("x.t", "x.k", "id", "fp")
     large = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     large = work.keep(large, "large-buckets")
@@ -179,3 +186,135 @@ def near_duplicates(df: DataFrame, work: Workspace, key: str = "doc_id", text: s
     joined = components(edges, work)
     classes = points.join(joined, points["id"] == joined["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marks.join(classes, "fp").select(key, "fp", "component_id")
+
+
+#: Texts of a group of candidates that a task compares at once (twice this, for a pair of blocks).
+SET_BLOCK = 512
+
+#: Ids that are sent to every task; with more of them, the texts are shuffled to meet them.
+BROADCAST_ROWS = 2_000_000
+
+
+def _remixed(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-th of a family of hashes of a hash (splitmix64's steps)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * n % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_prints(df: DataFrame, prints: int, key: str, text: str) -> DataFrame:
+    """(id, h, g, fps): 128 bits of hash of the text's words in order, and fingerprints of its distinct words, each under a hash of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide, fps = [], []
+            for _, _, data, at in chunks(b.column(1)):
+                raw, at = data.tobytes(), at.tolist()
+                for k in range(len(at) - 1):
+                    w = words(raw[at[k] : at[k + 1]])
+                    wide.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                    own = set(w)
+                    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+                    fps.append([vote(_remixed(h, n)) for n in range(prints)])
+            halves = np.frombuffer(b"".join(wide), np.int64).reshape(-1, 2)
+            flat = np.array(fps, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * prints), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists], names=["id", "h", "g", "fps"])
+
+    return df.select(F.col(key).cast("bigint"), utf8(text)).mapInArrow(run, "id bigint, h bigint, g bigint, fps array<bigint>")
+
+
+def shingle_sets(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """(id, bag): the sorted distinct shingle hashes of a text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, at in chunks(b.column(1)):
+                raw, at = data.tobytes(), at.tolist()
+                bags = [np.unique(shingle_hashes(raw[at[k] : at[k + 1]], size)).tobytes() for k in range(j - i)]
+                yield batch(id=b.column(0).slice(i, j - i), bag=pa.array(bags, pa.binary()))
+
+    return df.select(F.col(key).cast("bigint"), utf8(text)).mapInArrow(run, "id bigint, bag binary")
+
+
+def alike(bags: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of sets whose Jaccard similarity is at least ``similarity``; two empty sets are alike.
+
+    Common elements are counted as products of 0/1 matrices, over the elements that two sets or more have.
+    """
+    n = len(bags)
+    size = np.array([len(x) for x in bags])
+    item, at = np.unique(np.concatenate(bags), return_inverse=True) if size.sum() else (np.zeros(0), np.zeros(0, int))
+    row = np.repeat(np.arange(n), size)
+    shared = np.bincount(at, minlength=len(item)) > 1
+    use = shared[at]
+    column, row = (np.cumsum(shared) - 1)[at[use]], row[use]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((n, n), np.float32)
+    width = 4096
+    for c in range(0, int(shared.sum()), width):
+        s, e = np.searchsorted(column, (c, c + width))
+        m = np.zeros((n, width), np.float32)
+        m[row[s:e], column[s:e] - c] = 1
+        common += m @ m.T
+    either = size[:, None] + size[None, :] - common
+    return np.nonzero(np.triu(np.where(either > 0, common, 1) >= similarity * np.maximum(either, 1), 1))
+
+
+def _alike_in_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Reads rows (c, g, id, bag) sorted by (c, g); yields links (a, b) that make each group's components."""
+    now, ids, bags = None, [], []
+
+    def links() -> pa.RecordBatch:
+        a, b = alike(bags, similarity)
+        root = roots(len(ids), a, b)
+        at, own = np.array(ids), np.flatnonzero(root != np.arange(len(ids)))
+        return batch(a=at[own], b=at[root[own]])
+
+    for x in batches:
+        for c, g, i, bag in zip(*[x.column(k).to_pylist() for k in range(4)], strict=True):
+            if (c, g) != now:
+                if len(ids) > 1:
+                    yield links()
+                now, ids, bags = (c, g), [], []
+            ids.append(i)
+            bags.append(np.frombuffer(bag, np.uint64))
+    if len(ids) > 1:
+        yield links()
+
+
+def near_some(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """df's rows whose key is (left_semi) or isn't (left_anti) among ids, a written table with a column of that name; few ids are sent to every task."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)
+
+
+def similar_groups(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 4, prints: int = 4, block: int = SET_BLOCK) -> DataFrame:
+    """(key, component_id) of the rows whose key isn't null: texts tied by links of at least ``similarity`` share the smallest key reachable.
+
+    Similarity is Jaccard's of the sets of ``size``-word shingles.  Candidates are texts tied by a fingerprint of their
+    distinct words within the radius; all pairs inside such a group are compared, in blocks, so a miss is only possible where
+    all ``prints`` fingerprints of all connecting pairs are further apart (about one pair in fifty at 0.8, fewer above).
+    """
+    marks = work.keep(word_prints(df.filter(F.col(key).isNotNull()), prints, key, text), "prints")
+    points = work.keep(marks.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("fps").alias("fps")), "distinct")
+    each = points.select("id", F.posexplode("fps").alias("p", "fp"))
+    # Different texts of one fingerprint are tied to its first; the others don't need to be looked up.
+    firsts = work.keep(each.groupBy("p", "fp").agg(F.min("id").alias("id")), "firsts")
+    same = each.join(firsts.withColumnRenamed("id", "first"), ["p", "fp"]).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    near = near_links(firsts, work, radius)
+    maybe = work.keep(components(near.union(same), work), "candidates")
+    bags = shingle_sets(near_some(df, maybe.select(F.col("node").alias(key)), key).select(key, text), size, key, text)
+    # Several rows may carry one key; the first text by bytes stands for it.
+    bags = bags.groupBy("id").agg(F.min("bag").alias("bag"))
+    groups = maybe.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = bags.join(maybe, bags["id"] == maybe["node"]).join(groups, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.least("own", "j") * F.col("blocks") + F.greatest("own", "j")
+    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select(F.col("component").alias("c"), pair.alias("g"), "id", "bag").repartition(parts, "c", "g").sortWithinPartitions("c", "g")
+    edges = dealt.mapInArrow(functools.partial(_alike_in_groups, similarity=similarity), "a bigint, b bigint")
+    tied = components(edges, work)
+    classes = points.join(tied, points["id"] == tied["node"], "left").select("h", "g", F.coalesce("component", "id").alias("component_id"))
+    return marks.join(classes, ["h", "g"]).select(F.col("id").alias(key), "component_id")
