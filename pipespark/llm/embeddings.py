@@ -33,10 +33,10 @@ from .components import components, roots
 MAX_PIVOTS = 1024
 
 #: Distinct vectors aimed at for a cell; with more than MAX_PIVOTS times this, cells are larger and have more blocks.
-CELL = 2048
+CELL = 8192
 
 #: Own vectors and all vectors of a block.
-OWN_BLOCK, ALL_BLOCK = 2048, 16_384
+OWN_BLOCK, ALL_BLOCK = 8192, 16_384
 
 #: How far single precision may be off in a product of two unit vectors.
 UNSURE = 2e-5
