@@ -61,4 +61,4 @@ def map_columns(df: DataFrame, renames: Mapping[str, str] | str) -> DataFrame:
     if len(set(names)) < len(names):
         twice = sorted({n for n in names if names.count(n) > 1})
         raise ConfigError(f"renaming gives two columns of the name {', '.join(twice)}")
-    return df.withColumnsRenamed(renames)
+    return df.toDF(*names)
