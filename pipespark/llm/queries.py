@@ -89,4 +89,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The CRC-32 table is made from its polynomial; fixed value: 3988292384, the reversed polynomial of ISO 3309.
+_SHARDS_SQL = """
+WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce([CAST(b AS BIGINT), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc),
+d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda x, y: xor(x >> 8, t.crc[xor(x & 255, y) + 1])), 4294967295) AS text_crc32 FROM d, t),
+s AS (SELECT *, CAST(least(15, (2 * (sum(size) OVER (ORDER BY doc_id) - size) + size) * 16 // (2 * sum(size) OVER ())) AS INTEGER) AS shard FROM c)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+#: Base 32 of 160 bits: digit i has 5 of the 20 bits of the hexadecimal digits from 5 * (i // 4).
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d
+"""
+
+_LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NOT NULL AND isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0
+    AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'sum') > 0 THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON m.id = v.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc_chain": _WARC_SQL, "op6_byte_shards": _SHARDS_SQL, "op8_pivot_join": _LINKS_SQL}
