@@ -10,7 +10,7 @@ from .. import operators as O  # noqa: E741
 from ..errors import ConfigError, PipelineError
 from ..sources import scan, sink
 from . import nodes as N
-from .manifest import RunManifest, started
+from .manifest import RunManifest, inputs_digest, started
 
 Apply = Callable[[SparkSession, DataFrame, object, bool], DataFrame]
 
@@ -78,4 +78,9 @@ def run_plan(spark: SparkSession, plan: N.Plan, compat: bool = False) -> tuple[R
             sink(df, last.destination, last.format, **({} if last.destination == "stdout" else options))
         except PipelineError as e:
             raise e.within(f"step {len(plan.steps)} (Sink)")
-    return begun.finished(df), df
+    return begun.finished(df, inputs_digest(spark, sorted(sources_of(plan)))), df
+
+
+def sources_of(plan: N.Plan) -> set[str]:
+    own = {s.source for s in plan.steps if isinstance(s, N.Scan)}
+    return own.union(*(sources_of(s.right) for s in plan.steps if isinstance(s, N.Join)))

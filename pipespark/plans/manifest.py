@@ -54,6 +54,14 @@ def same_plan(manifest: RunManifest, plan: N.Plan) -> bool:
     return manifest.plan_hash == plan_hash(plan)
 
 
+def inputs_digest(spark, paths: list[str]) -> str:
+    """A digest of the input files' places, lengths and times of change, without reading them."""
+    from ..sources.storage import Storage
+
+    store = Storage(spark)
+    return _hash(" ".join(store.etag(p) for p in sorted(paths)))
+
+
 def content_digest(df: DataFrame) -> str:
     """A digest of the rows whatever their order: count, sum and xor of row hashes, in one aggregate."""
     from pyspark.sql import functions as F

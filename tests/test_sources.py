@@ -122,3 +122,19 @@ def test_detection(spark, capsys):
     names = {"a.parquet": "parquet", "a.PARQ": "parquet", "b.jsonl": "jsonl", "b.ndjson": "jsonl", "c.csv": "csv", "d": "csv", "s3://b/x.parquet/": "parquet"}
     assert {k: sources.detect_format(k) for k in names} == names
     sources.sink(spark.range(1), "stdout")
+
+
+def test_storage(spark, tmp_path):
+    store, path = sources.Storage(spark), f"file://{tmp_path}/deep/er/x.bin"
+    store.write(path, bytes(range(200)))
+    assert store.exists(path) and store.size(path) == 200
+    assert store.read_range(path, 10, 5) == bytes(range(10, 15)) and store.read_range(path, 190, 99) == bytes(range(190, 200)) and store.read_range(path, 500, 1) == b""
+    assert [p.rsplit("/", 1)[1] for p in store.list(f"file://{tmp_path}/deep/er")] == ["x.bin"] and store.list(f"file://{tmp_path}/none") == []
+    tag = store.etag(path)
+    assert tag == store.etag(path)
+    store.write(path, b"other")
+    assert store.etag(path) != tag and store.read_range(path, 0, 9) == b"other"
+    assert store.delete(path) and not store.delete(path)
+    for bad in (lambda: store.size(path), lambda: store.exists("nosuch://x/y")):
+        with pytest.raises(SourceError):
+            bad()
