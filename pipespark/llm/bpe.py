@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch
+from .common import batch, map_batches, text_at
 
 #: Pre-tokens that a task remembers; about 300 bytes each.
 CACHE = 400_000
 
+#: Texts that are turned into Python lists at once.
+_ROWS = 256
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ``base64 rank`` lines of a rank file on the driver."""
@@ -132,29 +135,37 @@ def _share(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((ranks, merge_pairs(ranks), pattern))
 
 
-def _texts(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
+def _texts(column: pa.Array, rows: int = _ROWS) -> Iterator[list[str]]:
     for i in range(0, len(column), rows):
         yield column.slice(i, rows).to_pylist()
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column of ids (array<int>) after its own."""
-    shared, spare = _share(df.sparkSession, path, pattern), "__bpe_text"
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", whole: str | None = None, keep_text: bool = True) -> DataFrame:
+    """df with a column of ids (array<int>) after its own; ``whole`` names one more, whether the ids decode to the text's bytes.
+    Without ``keep_text`` the text itself isn't sent back."""
+    shared = _share(df.sparkSession, path, pattern)
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(whole, T.BooleanType(), False)] if whole else [])
+    schema = T.StructType([*[f for f in df.schema.fields if keep_text or f.name != text], *more])
+    back = [i for i, c in enumerate(df.columns) if keep_text or c != text]
+    df, place, _ = text_at(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec_of(shared)
         for b in batches:
-            codec = _codec_of(shared)
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                found = [codec.pieces(x) for x in part.column(part.num_columns - 1).to_pylist()]
+            for i in range(0, b.num_rows, _ROWS):
+                part = b.slice(i, _ROWS)
+                texts = [x or "" for x in part.column(place).to_pylist()]
+                found = [codec.pieces(x) for x in texts]
                 codec.learn(set().union(*found))
                 got = [np.fromiter(itertools.chain.from_iterable(map(codec.cache.__getitem__, p)), np.int32) for p in found]
                 at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*part.schema.names[:-1], ids])
+                columns = [*[part.column(k) for k in back], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got)))]
+                if whole:
+                    columns.append(pa.array([codec.decode(g.tolist()) == x.encode() for g, x in zip(got, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        codec.cache.clear()  # an idle worker holds no memory
 
-    return df.withColumn(spare, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -165,10 +176,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = table.value.__getitem__
         for b in batches:
-            got = [b"".join(map(get, x or ())) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.binary())], names=[*b.schema.names[:-1], data])
+            for i in range(0, b.num_rows, _ROWS):
+                part = b.slice(i, _ROWS)
+                got = [b"".join(map(get, x or ())) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary())], names=schema.names)
 
-    return df.withColumn(spare, F.col(ids)).mapInArrow(run, schema)
+    return map_batches(df.withColumn(spare, F.col(ids)), run, schema)
 
 
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,7 +209,8 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
                     ns.append(sum([x[0] for x in got]))
                     a.append(hashlib.sha256("".join([x[1] for x in got])[:-1].encode()).hexdigest())
                     d.append(hashlib.sha256(b"".join([x[2] for x in got])).hexdigest())
+            codec.cache.clear()
             yield batch(**{key: b.column(0), "n_tokens": pa.array(ns, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(d, pa.string())})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(df.select(key, F.coalesce(F.col(text).cast("string"), F.lit(""))), run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

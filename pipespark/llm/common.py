@@ -1,4 +1,4 @@
-"""What the operators share: a workspace in the cluster's shared folder, Arrow access, and small helpers.
+"""What the operators share: Arrow access and small helpers.
 
 A text column goes to Python as binary (its UTF-8 bytes), so that a batch is one contiguous
 buffer with offsets and most kernels never build a Python string per row.
@@ -6,15 +6,17 @@ buffer with offsets and most kernels never build a Python string per row.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..scratch import Workspace as Workspace
 
 #: Lower-cases A-Z and leaves every other byte alone.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -22,62 +24,50 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bytes of text that a kernel works on at once; bounds its temporary arrays.
 CHUNK_BYTES = 4 << 20
 
-_made: dict[str, SparkSession] = {}
-
+#: Rows of an Arrow batch, where the session keeps Spark's default of 10,000: texts of some kilobytes then make batches of megabytes.
+BATCH_ROWS = 512
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "own" not in shared_root.__dict__:
-        shared_root.own = tempfile.mkdtemp(prefix="pipespark-")
-    return f"file://{shared_root.own}"
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small enough for rows that hold texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
+def tidy() -> None:
+    """Gives freed memory back to the system, so that an idle Python worker holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
-class Workspace:
-    """Tables written under the shared folder to cut lineage: a lost executor costs a task, not the plan.
 
-    What a result still reads must stay, so tables live until ``drop``, or the end of the session.
-    """
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with ``tidy`` after its last batch."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/pipespark-{uuid.uuid4().hex}"
-        self._n = 0
-        _made[self.root] = spark
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
 
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
+    return both
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns a frame that reads it."""
-        path = self.path(name)
-        df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        back._workspace_path = path
-        return back
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes what ``keep`` wrote; for tables that no result reads any more."""
-        _delete(self.spark, df._workspace_path)
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in bounded batches, by a function that leaves no memory behind."""
+    return bounded(df).mapInArrow(tidied(run), schema)
 
 
-@atexit.register
-def _clean() -> None:
-    for root, spark in _made.items():
-        try:
-            _delete(spark, root)
-        except Exception:  # the session may be gone by now; the folder is then the cluster's to clear
-            pass
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows`` rows or ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,16 +79,26 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")).cast("binary")
 
 
+def text_at(df: DataFrame, text: str) -> tuple[DataFrame, int, int]:
+    """(frame, place of the text as a string column, number of columns to hand on).
+
+    A text that is a string already is read where it stands, so that it isn't sent to Python twice.
+    """
+    if isinstance(df.schema[text].dataType, T.StringType):
+        return df, df.columns.index(text), len(df.columns)
+    return df.withColumn("__text", F.col(text).cast("string")), len(df.columns), len(df.columns)
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of an id written as text; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column without nulls, without copying; bytes[offsets[i]:offsets[i+1]] is row i."""
+    """(bytes, offsets) of a binary or string column, without copying; bytes[offsets[i]:offsets[i+1]] is row i, empty for null."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch
+from .common import Workspace, batch, map_batches
 
 #: Edges that a task turns into a forest at once; bounds its memory.
 FOREST_EDGES = 2_000_000
@@ -69,7 +69,7 @@ def components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataF
     edges: columns a, b of bigint.  Loops and repeats don't matter; an edge with a null end is ignored.
     Nodes without edges don't appear.
     """
-    forest = lambda e: e.mapInArrow(_forest, "a bigint, b bigint")
+    forest = lambda e: map_batches(e, _forest, "a bigint, b bigint")
     now = work.keep(forest(edges.select("a", "b").filter("a <> b")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch
+from .common import Workspace, batch, map_batches
 from .components import components, roots
 
 MAX_PIVOTS = 1024
@@ -123,7 +123,7 @@ def near_duplicates(df: DataFrame, work: Workspace, key: str = "vec_id", vector:
     """(key, n_links, component_id, kept) of every row."""
     r = math.sqrt(2 - 2 * cosine)
     spark = df.sparkSession
-    clean = work.keep(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>")).mapInArrow(_clean, "id bigint, vec binary, dim int"), "vectors")
+    clean = work.keep(map_batches(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>")), _clean, "id bigint, vec binary, dim int"), "vectors")
     usable = clean.filter("vec is not null and id is not null")
     points = work.keep(usable.groupBy("vec", "dim").agg(F.min("id").alias("id"), F.count("*").alias("m")).select("id", "vec", "dim", "m"), "distinct")
     counts = {x["dim"]: x["count"] for x in points.groupBy("dim").count().collect()}
@@ -136,13 +136,13 @@ def near_duplicates(df: DataFrame, work: Workspace, key: str = "vec_id", vector:
         rows = points.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(want).collect()
         pivots[dim] = _unit(pa.array([bytes(x["vec"]) for x in rows], pa.binary()), dim)
     shared = spark.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors of each length
-    homes = points.mapInArrow(lambda it: _deal(shared.value, None, r)(it), "id bigint, vec binary, dim int, m bigint, cell int, d double")
+    homes = map_batches(points, lambda it: _deal(shared.value, None, r)(it), "id bigint, vec binary, dim int, m bigint, cell int, d double")
     reach = {dim: np.zeros(len(p)) for dim, p in pivots.items()}
     sizes = homes.groupBy("dim", "cell").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect()  # one row for each pivot
     for x in sizes:
         reach[x["dim"]][x["cell"]] = x["d"]
     reached = spark.sparkContext.broadcast(reach)
-    rows = points.mapInArrow(lambda it: _deal(shared.value, reached.value, r)(it), "id bigint, vec binary, dim int, m bigint, cell int, own boolean")
+    rows = map_batches(points, lambda it: _deal(shared.value, reached.value, r)(it), "id bigint, vec binary, dim int, m bigint, cell int, own boolean")
     seen = work.keep(rows, "cells")
     # A cell's own vectors are cut into blocks and all that it sees into larger ones; every pair of blocks is a task.
     blocks = seen.groupBy("dim", "cell").agg(F.ceil(F.sum(F.col("own").cast("int")) / OWN_BLOCK).cast("int").alias("owns"), F.ceil(F.count("*") / ALL_BLOCK).cast("int").alias("alls"))

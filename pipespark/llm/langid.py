@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, utf8
+from .common import chunks, map_batches, text_at, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -200,12 +200,13 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", pred: str =
     if model is None:
         return df.withColumns({pred: F.lit("und"), score: F.lit(0.0)})
     shared = df.sparkSession.sparkContext.broadcast(model)
+    df, place, width = text_at(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value.tables()
         for b in batches:
-            for i, j, data, at in chunks(b.column(b.num_columns - 1)):
+            for i, j, data, at in chunks(b.column(place)):
                 names, scores = predict(shared.value, tables, data, at)
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:-1]], pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:width]], pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
-    return df.withColumn("__langid_bytes", utf8(text)).mapInArrow(run, schema)
+    return map_batches(df, run, schema)

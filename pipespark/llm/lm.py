@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch, chunks, utf8, words
+from .common import Workspace, batch, chunks, map_batches, regrouped, utf8, words
 
 STATES = 8
 WORDS = 65_000
@@ -47,6 +47,9 @@ START_DOCS, START_TOKENS, START_ITERATIONS = 1500, 20_000, 14
 #: Tokens (with padding) that run side by side, and steps whose alphas are kept.
 _SIDE_BY_SIDE, STEPS = 1 << 18, 1 << 15
 
+#: Texts that are sorted by length together.
+TEXTS = 4096
+
 #: Distinct words that a counting task holds before it passes them on.
 _HELD_WORDS = 300_000
 
@@ -212,7 +215,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if held:
             yield batch(w=pa.array(list(held), pa.binary()), n=np.fromiter(held.values(), np.int64, len(held)))
 
-    return texts.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return map_batches(texts, run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def _joined_texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
@@ -289,7 +292,7 @@ def encode(df: DataFrame, voc: Vocabulary) -> DataFrame:
                     names=[*b.schema.names[:-1], "n_tokens", "known", "count_log", "class_log", "symbols", "rare"],
                 )
 
-    return df.mapInArrow(run, f"{kept}, n_tokens bigint, known bigint, count_log double, class_log double, symbols binary, rare array<binary>")
+    return map_batches(df, run, f"{kept}, n_tokens bigint, known bigint, count_log double, class_log double, symbols binary, rare array<binary>")
 
 
 # Training and scoring
@@ -307,13 +310,12 @@ def _iterate(seqs: DataFrame, model, spark: SparkSession) -> tuple[np.ndarray, n
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = shared.value
         total = [np.zeros(k), np.zeros((k, k)), np.zeros((-(-n // _ROW) * _ROW, k)), 0.0]
-        for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                got = expected_counts(_sequences(b.column(0).slice(i, 2048)), start, move, emit)
-                total[0] += got[0]
-                total[1] += got[1]
-                total[2][:n] += got[2]
-                total[3] += got[3]
+        for b in regrouped(batches, TEXTS):
+            got = expected_counts(_sequences(b.column(0)), start, move, emit)
+            total[0] += got[0]
+            total[1] += got[1]
+            total[2][:n] += got[2]
+            total[3] += got[3]
         rows = total[2].reshape(-1, _ROW * k)
         full = np.flatnonzero(rows.any(1))
         head = np.concatenate([total[0], total[1].ravel(), [total[3]]])
@@ -329,7 +331,7 @@ def _iterate(seqs: DataFrame, model, spark: SparkSession) -> tuple[np.ndarray, n
             yield batch(row=pa.array(list(sums), pa.int64()), sums=pa.array([x.tobytes() for x in sums.values()], pa.binary()))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = seqs.mapInArrow(expect, "row bigint, sums binary").repartition(parts, "row").mapInArrow(add, "row bigint, sums binary").collect()
+    got = map_batches(map_batches(seqs, expect, "row bigint, sums binary").repartition(parts, "row"), add, "row bigint, sums binary").collect()
     emit, head = np.zeros((-(-n // _ROW), _ROW * k)), np.zeros(k + k * k + 1)
     for r, x in got:
         if r < 0:
@@ -369,13 +371,11 @@ def score(df: DataFrame, of_training: Column, work: Workspace, key: str = "doc_i
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
-                got = log_likelihoods(_sequences(part.column(part.num_columns - 1)), *shared.value) / np.log(10)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got)], names=[*part.schema.names[:-1], "hmm"])
+        for b in regrouped(batches, TEXTS):
+            got = log_likelihoods(_sequences(b.column(b.num_columns - 1)), *shared.value) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got)], names=[*b.schema.names[:-1], "hmm"])
 
-    scored = encoded.select(key, "held_out", "row", "n_tokens", "known", "count_log", "class_log", "symbols").mapInArrow(run, f"`{key}` {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, count_log double, class_log double, hmm double")
+    scored = map_batches(encoded.select(key, "held_out", "row", "n_tokens", "known", "count_log", "class_log", "symbols"), run, f"`{key}` {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, count_log double, class_log double, hmm double")
     rare = encoded.select("row", F.explode("rare").alias("w")).join(counts.filter(F.col("n") < known), "w", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("rare_log"), F.count("n").alias("rare_known"))
     both = scored.join(rare, "row", "left").withColumns({"rare_log": F.coalesce("rare_log", F.lit(0.0)), "rare_known": F.coalesce("rare_known", F.lit(0))})

@@ -12,8 +12,7 @@ The target model is learned from at most TARGET_DOCS labelled documents (a hash
 weights and the draw cover all documents.  k is the share of good ones among all labels, times the number of documents.
 
 Edge cases: a null, empty or white text has no n-grams and weight 0, neither good nor bad.  Ties at the cut go to the
-smaller id; rows equal in both share their fate.  With no labels at all k is all.  Extra columns play no part, and a column
-named like a result is replaced.  Texts of any length are done whole, in chunks.
+smaller id; rows equal in both share their fate.  With no labels at all k is all.  Extra columns play no part.  Texts of any length are done whole, in chunks.
 """
 
 from __future__ import annotations
@@ -24,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import LOWER, Workspace, batch, chunks, utf8
+from .common import LOWER, Workspace, batch, chunks, map_batches, utf8
 
 BUCKETS = 10_000
 TARGET_DOCS = 20_000
@@ -80,7 +78,7 @@ def _counts(df: DataFrame) -> np.ndarray:
         full = np.flatnonzero(total[0])
         yield batch(bucket=full, every=total[0][full], target=total[1][full])
 
-    rows = df.mapInArrow(run, "bucket bigint, every bigint, target bigint").groupBy("bucket").agg(F.sum("every"), F.sum("target")).collect()  # at most BUCKETS
+    rows = map_batches(df, run, "bucket bigint, every bigint, target bigint").groupBy("bucket").agg(F.sum("every"), F.sum("target")).collect()  # at most BUCKETS
     out = np.zeros((2, BUCKETS), np.int64)
     for bucket, every, target in rows:
         out[:, bucket] = every, target
@@ -103,21 +101,19 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with n_grams, log_weight and gumbel_key."""
-    names = ("n_grams", "log_weight")
-    df = df.drop(*names, "gumbel_key")
-    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.DoubleType())])
+    """(key, n_grams, log_weight, gumbel_key) of every row."""
+    kind = df.schema[key].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, at in chunks(b.column(b.num_columns - 1)):
+            for i, j, data, at in chunks(b.column(1)):
                 text, bucket = ngrams(data, at)
                 n = np.bincount(text, minlength=j - i)
                 w = np.bincount(text, weights=shared.value[bucket], minlength=j - i).astype(np.float64)  # numpy gives int for no n-grams
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:-1]], pa.array(n), pa.array(w)], names=schema.names)
+                yield batch(**{key: b.column(0).slice(i, j - i), "n_grams": n, "log_weight": w})
 
-    out = df.withColumn("__quality_bytes", utf8(text)).mapInArrow(run, schema)
+    out = map_batches(df.select(key, utf8(text)), run, f"`{key}` {kind}, n_grams bigint, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     noise = -F.log(-F.log(uniform))
     return out.withColumn("gumbel_key", F.col("log_weight") / F.greatest("n_grams", F.lit(1)) * EVIDENCE + noise)
@@ -172,5 +168,5 @@ def _nth_smallest(df: DataFrame, n: int, column: str, rows: int) -> int:
 def resample(df: DataFrame, labels: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", share: float | None = None) -> DataFrame:
     """(key, n_grams, log_weight, gumbel_key, selected) of every row; share: of all documents, else as good as the labels say."""
     ratio, good = learn(df, labels, key, text)
-    keys = work.keep(weigh(df.select(key, text), ratio, key, text).drop(text), "weights")
+    keys = work.keep(weigh(df, ratio, key, text), "weights")
     return top_k(keys, round(keys.count() * (good if share is None else share)), "gumbel_key", key)

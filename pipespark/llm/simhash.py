@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch, chunks, utf8, words
+from .common import Workspace, batch, chunks, map_batches, regrouped, utf8, words
 from .components import components, roots
 
 #: Rows of a bucket that a task compares at once (twice this, for a pair of blocks).
@@ -90,7 +90,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
                     fp[i + k] = vote(shingle_hashes(raw[at[k] : at[k + 1]], size))
             yield batch(**{key: b.column(0), "fp": fp.view(np.int64)})
 
-    return df.select(key, utf8(text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp bigint")
+    return map_batches(df.select(key, utf8(text)), run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp bigint")
 
 
 def _linked(ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def _forest_of_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
             b.append(ids[s:e][y])
         return batch(a=np.concatenate(a), b=np.concatenate(b))
 
-    for x in batches:
+    for x in regrouped(batches, 20_000):
         if not x.num_rows:
             continue
         now = [x.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -175,7 +175,7 @@ def near_links(points: DataFrame, work: Workspace, radius: int = 4, block: int =
     rows = alone.select("t", "k", "g", "id", "fp")
     parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "t", "k", "g").sortWithinPartitions("t", "k", "g")
-    return dealt.mapInArrow(functools.partial(_forest_of_buckets, radius=radius), "a bigint, b bigint")
+    return map_batches(dealt, functools.partial(_forest_of_buckets, radius=radius), "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
@@ -222,7 +222,7 @@ def word_prints(df: DataFrame, prints: int, key: str, text: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * prints), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists], names=["id", "h", "g", "fps"])
 
-    return df.select(F.col(key).cast("bigint"), utf8(text)).mapInArrow(run, "id bigint, h bigint, g bigint, fps array<bigint>")
+    return map_batches(df.select(F.col(key).cast("bigint"), utf8(text)), run, "id bigint, h bigint, g bigint, fps array<bigint>")
 
 
 def shingle_sets(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
@@ -235,7 +235,7 @@ def shingle_sets(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
                 bags = [np.unique(shingle_hashes(raw[at[k] : at[k + 1]], size)).tobytes() for k in range(j - i)]
                 yield batch(id=b.column(0).slice(i, j - i), bag=pa.array(bags, pa.binary()))
 
-    return df.select(F.col(key).cast("bigint"), utf8(text)).mapInArrow(run, "id bigint, bag binary")
+    return map_batches(df.select(F.col(key).cast("bigint"), utf8(text)), run, "id bigint, bag binary")
 
 
 def alike(bags: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +314,7 @@ def similar_groups(df: DataFrame, work: Workspace, key: str = "doc_id", text: st
     pair = F.least("own", "j") * F.col("blocks") + F.greatest("own", "j")
     parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.select(F.col("component").alias("c"), pair.alias("g"), "id", "bag").repartition(parts, "c", "g").sortWithinPartitions("c", "g")
-    edges = dealt.mapInArrow(functools.partial(_alike_in_groups, similarity=similarity), "a bigint, b bigint")
+    edges = map_batches(dealt, functools.partial(_alike_in_groups, similarity=similarity), "a bigint, b bigint")
     tied = components(edges, work)
     classes = points.join(tied, points["id"] == tied["node"], "left").select("h", "g", F.coalesce("component", "id").alias("component_id"))
     return marks.join(classes, ["h", "g"]).select(F.col("id").alias(key), "component_id")
