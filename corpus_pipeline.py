@@ -62,10 +62,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = queries.tokenizer_files()
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
-    back = bpe.decode(coded, path)
-    whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", whole.alias("round_trip"))
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, whole="round_trip", keep_text=False)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
