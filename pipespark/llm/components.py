@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and
 Beyond", 2014), each round written to the shared folder.  Every partition first replaces its own edges
-by a spanning forest, so what is shuffled is at most nodes x partitions.  Nothing is collected.
+by a spanning forest, so what is shuffled is at most nodes x partitions.  A graph of at most FOREST_EDGES edges after that
+is finished by one task.  Nothing is collected.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, work: Workspace, max_rounds: int = 60, at_once: int = FOREST_EDGES) -> DataFrame:
     """(node, component) for each node on an edge; component is the smallest node reachable.
 
     edges: columns a, b of bigint.  Loops and repeats don't matter; an edge with a null end is ignored.
@@ -71,6 +72,9 @@ def components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataF
     """
     forest = lambda e: map_batches(e, _forest, "a bigint, b bigint")
     now = work.keep(forest(edges.select("a", "b").filter("a <> b")).distinct(), "edges")
+    if now.count() <= at_once:
+        stars = work.keep(forest(now.coalesce(1)), "stars")
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     seen = None
     for _ in range(max_rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

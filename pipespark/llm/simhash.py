@@ -191,6 +191,9 @@ def near_duplicates(df: DataFrame, work: Workspace, key: str = "doc_id", text: s
 #: Texts of a group of candidates that a task compares at once (twice this, for a pair of blocks).
 SET_BLOCK = 512
 
+#: Bytes of shingle hashes of such a block; a text's own are 8 bytes a word.
+SET_BYTES = 8 << 20
+
 #: Ids that are sent to every task; with more of them, the texts are shuffled to meet them.
 BROADCAST_ROWS = 2_000_000
 
@@ -307,8 +310,9 @@ def similar_groups(df: DataFrame, work: Workspace, key: str = "doc_id", text: st
     maybe = work.keep(components(near.union(same), work), "candidates")
     bags = shingle_sets(near_some(df, maybe.select(F.col("node").alias(key)), key).select(key, text), size, key, text)
     # Several rows may carry one key; the first text by bytes stands for it.
-    bags = bags.groupBy("id").agg(F.min("bag").alias("bag"))
-    groups = maybe.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    bags = work.keep(bags.groupBy("id").agg(F.min("bag").alias("bag")), "bags")
+    held = bags.select("id", F.octet_length("bag").alias("size")).join(maybe, F.col("id") == F.col("node")).groupBy("component")
+    groups = held.agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / SET_BYTES)).cast("int").alias("blocks"))
     placed = bags.join(maybe, bags["id"] == maybe["node"]).join(groups, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.least("own", "j") * F.col("blocks") + F.greatest("own", "j")

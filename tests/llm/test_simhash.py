@@ -81,10 +81,11 @@ def test_nulls_short_texts_ties_and_clashing_columns(spark):
     assert simhash.near_duplicates(df.limit(0), Workspace(spark)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [0, 10**6])
 @pytest.mark.parametrize("n", [2, 50, 400])
-def test_components_of_chains_and_stars(spark, n):
+def test_components_of_chains_and_stars(spark, n, at_once):
     pairs = [(i, i + 1) for i in range(n)] + [(10_000, 10_000 + i) for i in range(1, n)] + [(7_000_000, 7_000_000)]
     random.Random(n).shuffle(pairs)
     df = spark.createDataFrame(pairs, "a long, b long").repartition(4)
-    got = {r.node: r.component for r in components(df, Workspace(spark)).collect()}
+    got = {r.node: r.component for r in components(df, Workspace(spark), at_once=at_once).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, **{10_000 + i: 10_000 for i in range(n)}}
