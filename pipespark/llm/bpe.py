@@ -48,6 +48,12 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def byte_strings(vocabulary: dict[str, int]) -> dict[int, bytes]:
+    """The bytes of each id: its characters taken back through the byte table."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    return {i: bytes(map(back.__getitem__, token)) for token, i in vocabulary.items()}
+
+
 def merge_pairs(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     """The pair that each token of two or more bytes is merged from, in order of rank.
 
@@ -73,12 +79,12 @@ class Codec:
         import regex
         from tokenizers import Tokenizer, models
 
-        self.ranks, self.characters = ranks, byte_characters()
-        self.bytes_of = {v: k for k, v in ranks.items()}
         #: str.translate takes a text of Latin-1 characters, one per byte, to the vocabulary's characters.
-        self.table = {b: c for b, c in enumerate(self.characters)}
+        self.table = dict(enumerate(byte_characters()))
         name = lambda x: x.decode("latin-1").translate(self.table)
-        self.model = Tokenizer(models.BPE({name(k): v for k, v in ranks.items()}, [(name(a), name(b)) for a, b in merges], ignore_merges=True))
+        vocabulary = {name(k): v for k, v in ranks.items()}
+        self.bytes_of = byte_strings(vocabulary)
+        self.model = Tokenizer(models.BPE(vocabulary, [(name(a), name(b)) for a, b in merges], ignore_merges=True))
         self.pattern = regex.compile(pattern)
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -170,7 +176,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """df with the bytes of its ids after its own columns; null ids give empty bytes."""
-    table = df.sparkSession.sparkContext.broadcast({v: k for k, v in read_ranks(path).items()})
+    table = df.sparkSession.sparkContext.broadcast({i: token for token, i in read_ranks(path).items()})
     schema, spare = T.StructType([*df.schema.fields, T.StructField(data, T.BinaryType(), False)]), "__bpe_ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
