@@ -7,7 +7,8 @@ bounded cache from pre-token to its ids: a corpus repeats its pre-tokens, so mos
 Edge cases: a null or empty text has no ids, and decodes to the empty text.  A text of any length is done whole,
 in one pass that holds a bounded number of ids beyond the row's own.  Decoding works on bytes, so an id sequence
 cut inside a character still gives back exactly its bytes; ``decode_text`` replaces what is not UTF-8.  Repeated
-rows are encoded alike.  Columns of the input other than the text are handed on untouched by ``encode``.
+rows are encoded alike.  Columns of the input other than the text are handed on untouched by ``encode``; one named like a
+result is replaced.
 """
 
 from __future__ import annotations
@@ -149,6 +150,7 @@ def _texts(column: pa.Array, rows: int = _ROWS) -> Iterator[list[str]]:
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", whole: str | None = None, keep_text: bool = True) -> DataFrame:
     """df with a column of ids (array<int>) after its own; ``whole`` names one more, whether the ids decode to the text's bytes.
     Without ``keep_text`` the text itself isn't sent back."""
+    df = df.drop(*[c for c in (ids, whole) if c and c != text])
     shared = _share(df.sparkSession, path, pattern)
     more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(whole, T.BooleanType(), False)] if whole else [])
     schema = T.StructType([*[f for f in df.schema.fields if keep_text or f.name != text], *more])
@@ -177,6 +179,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """df with the bytes of its ids after its own columns; null ids give empty bytes."""
     table = df.sparkSession.sparkContext.broadcast({i: token for token, i in read_ranks(path).items()})
+    df = df.drop(*[c for c in (data,) if c != ids])
     schema, spare = T.StructType([*df.schema.fields, T.StructField(data, T.BinaryType(), False)]), "__bpe_ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,8 @@ def test_encode_decode_frames_keep_columns(spark, files):
     for r in back.collect():
         assert bytes(r.decoded) == (r.text or "").encode()
     assert bpe.encode(df.limit(0), *files).count() == 0
+    again = bpe.encode(back, *files, whole="decoded", keep_text=False)
+    assert again.columns == ["doc_id", "ids_sha256", "ids", "decoded"] and all(r.decoded for r in again.collect())
 
 
 def test_query_whole_table(spark, reference):
