@@ -45,13 +45,13 @@ ITERATIONS = 3
 START_DOCS, START_TOKENS, START_ITERATIONS = 1500, 20_000, 14
 
 #: Tokens (with padding) that run side by side, and steps whose alphas are kept.
-_SIDE_BY_SIDE, STEPS = 1 << 18, 1 << 15
+_SIDE_BY_SIDE, STEPS = 1 << 19, 1 << 15
 
 #: Texts that are sorted by length together.
 TEXTS = 4096
 
 #: Distinct words that a counting task holds before it passes them on.
-_HELD_WORDS = 300_000
+_HELD_WORDS = 500_000
 
 #: Symbols of a row of expected counts on its way to be added up.
 _ROW = 64
@@ -68,36 +68,40 @@ def _ending_column(word: str) -> Column:
 # Forward and backward
 
 
-def _side_by_side(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(numbers of the sequences, longest first; their lengths; (steps, sequences) padded symbols), in batches of bounded size."""
+def _side_by_side(seqs: list[np.ndarray], fill: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of the sequences, longest first; their lengths; (steps, sequences) symbols padded with fill), in batches of bounded size."""
     size = np.array([len(s) for s in seqs])
     order = np.argsort(-size, kind="stable")
     i = 0
     while i < len(order):
         n = max(1, _SIDE_BY_SIDE // max(1, size[order[i]]))
         part = order[i : i + n]
-        x = np.zeros((size[part[0]], len(part)), np.uint16)
+        x = np.full((size[part[0]], len(part)), fill, np.uint16)
         for j, k in enumerate(part):
             x[: size[k], j] = seqs[k]
         yield part, size[part], x
         i += n
 
 
-def _forward(x, active, first, start, move, emit, t0, t1, last, keep):
-    """Steps t0..t1 from the alphas ``last``; returns their log scale for each sequence, and alphas and scales if kept."""
+def _forward(x, active, start, move, emit, t0, t1, last, keep):
+    """Steps t0..t1 from the alphas ``last`` (states x sequences); their log scales, and with ``keep`` alphas, scales and emissions of each step.
+
+    Arrays have the sequences last, so that every operation runs along memory.
+    """
     e = emit[x[t0:t1]]
-    total = np.zeros(x.shape[1])
-    alphas = np.empty(e.shape) if keep else None
-    scales = np.empty(e.shape[:2]) if keep else None
+    total, onward = np.zeros(x.shape[1]), np.ascontiguousarray(move.T)
+    alphas = np.empty((t1 - t0, len(start), x.shape[1])) if keep else None
+    scales = np.empty((t1 - t0, x.shape[1])) if keep else None
     for t in range(t0, t1):
         m = active[t]
-        a = (start if first and t == 0 else last[:m] @ move) * e[t - t0, :m]
-        s = a.sum(1)
-        a /= s[:, None]
-        last[:m] = a
+        a = onward @ last[:, :m] if t else np.repeat(start[:, None], m, 1)
+        a *= e[t - t0, :m].T
+        s = a.sum(0)
+        a /= s
+        last[:, :m] = a
         total[:m] += np.log(s)
         if keep:
-            alphas[t - t0, :m], scales[t - t0, :m] = a, s
+            alphas[t - t0, :, :m], scales[t - t0, :m] = a, s
     return total, alphas, scales, e
 
 
@@ -106,51 +110,51 @@ def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray,
     out = np.zeros(len(seqs))
     for part, size, x in _side_by_side(seqs):
         active = np.searchsorted(-size, -np.arange(len(x)), "left")
-        last = np.zeros((len(part), len(start)))
+        last = np.zeros((len(start), len(part)))
         for t0 in range(0, len(x), STEPS):
-            out[part] += _forward(x, active, True, start, move, emit, t0, min(len(x), t0 + STEPS), last, False)[0]
+            out[part] += _forward(x, active, start, move, emit, t0, min(len(x), t0 + STEPS), last, False)[0]
     return out
 
 
 def expected_counts(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(first states, moves, emissions, log likelihood) expected over the sequences."""
-    k = len(start)
-    c_start, c_move, c_emit, loglik = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape), 0.0
-    for part, size, x in _side_by_side(seqs):
+    k, n_symbols = emit.shape[1], len(emit)
+    c_start, c_move, c_emit, loglik = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_symbols + 1)), 0.0
+    padded = np.vstack([emit, np.zeros((1, k))])  # padding is one more symbol, whose counts are dropped
+    for part, size, x in _side_by_side(seqs, n_symbols):
         active = np.searchsorted(-size, -np.arange(len(x) + 1), "left")
-        last = np.zeros((len(part), k))
+        last = np.zeros((k, len(part)))
         cuts = list(range(0, len(x), STEPS))
         at_cut = []
         for t0 in cuts[:-1]:
             at_cut.append(last.copy())
-            loglik += _forward(x, active, True, start, move, emit, t0, t0 + STEPS, last, False)[0].sum()
+            loglik += _forward(x, active, start, move, padded, t0, t0 + STEPS, last, False)[0].sum()
         at_cut.append(last)
-        beta, after = np.ones((len(part), k)), None  # after: (emissions, scales) of the step that follows
+        beta, after = np.ones((k, len(part))), None  # after: (emissions, scales) of the step that follows
         for t0, last in zip(reversed(cuts), reversed(at_cut), strict=True):
             t1 = min(len(x), t0 + STEPS)
-            total, alphas, scales, e = _forward(x, active, True, start, move, emit, t0, t1, last.copy(), True)
+            total, alphas, scales, e = _forward(x, active, start, move, padded, t0, t1, last.copy(), True)
             if t0 == cuts[-1]:
                 loglik += total.sum()
             xi = np.zeros((k, k))
-            first_alpha = alphas[0, : active[t0]].copy()
             for t in range(t1 - 1, t0 - 1, -1):
                 m, n = active[t], active[t + 1]
                 if n:
                     e1, s1 = (e[t + 1 - t0, :n], scales[t + 1 - t0, :n]) if t + 1 < t1 else after
-                    u = e1 * beta[:n]
-                    u /= s1[:, None]
-                    xi += alphas[t - t0, :n].T @ u
-                    beta[:n] = u @ move.T
-                alphas[t - t0, :m] *= beta[:m]  # now the posterior
+                    u = beta[:, :n] * e1.T
+                    u /= s1
+                    xi += alphas[t - t0, :, :n] @ u.T
+                    beta[:, :n] = move @ u
+                alphas[t - t0, :, :m] *= beta[:, :m]  # now the posterior
+                alphas[t - t0, :, m:] = 0
             after = (e[0, : active[t0]], scales[0, : active[t0]])
             c_move += xi * move
             if t0 == 0:
-                c_start += (first_alpha * beta[: active[0]]).sum(0)
-            real = np.arange(len(part))[None, :] < active[t0:t1, None]
-            symbols, post = x[t0:t1][real], alphas[real]
+                c_start += alphas[0].sum(1)
+            symbols = x[t0:t1].ravel()
             for j in range(k):
-                c_emit[:, j] += np.bincount(symbols, weights=post[:, j], minlength=len(emit))
-    return c_start, c_move, c_emit, loglik
+                c_emit[j] += np.bincount(symbols, weights=alphas[:, j].ravel(), minlength=n_symbols + 1)
+    return c_start, c_move, c_emit[:, :-1].T, loglik
 
 
 def maximised(c_start: np.ndarray, c_move: np.ndarray, c_emit: np.ndarray, prior: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
