@@ -31,7 +31,7 @@ from .common import Workspace
 MAX_SOURCES = 1_000_000
 
 #: Documents of one (source, size) that one task ranks.
-CELL = 20_000
+CELL = 1_000
 
 
 def word_count(text: str | Column) -> Column:
