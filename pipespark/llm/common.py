@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import io
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import Workspace as Workspace
+from ..sources.storage import Storage
 
 #: Lower-cases A-Z and leaves every other byte alone.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -28,8 +32,27 @@ CHUNK_BYTES = 4 << 20
 BATCH_ROWS = 512
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors, once for each application: their Python imports it, wherever the driver found it."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    path = f"{Workspace(spark).path('code')}/pipespark_sources.zip"
+    Storage(spark).write(path, packed.getvalue())
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches are small enough for rows that hold texts."""
+    """df, in a session whose Arrow batches are small enough for rows that hold texts, and whose executors have the package."""
+    ship(df.sparkSession)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(name) == "10000":
         df.sparkSession.conf.set(name, BATCH_ROWS)

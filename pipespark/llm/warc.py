@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bounded
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -164,7 +164,7 @@ def _reached(table: pa.Table) -> pa.Table:
 def _chain(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame:
     """(f, at) of the candidates on the chain from offset 0 of each file.  links: f, at, to, all bigint; to is -1 where there is none."""
     block = BLOCK_BYTES
-    links = links.withColumn("block", F.expr(f"at div {block}"))
+    links = bounded(links.withColumn("block", F.expr(f"at div {block}")))
     exits = work.keep(links.groupBy("f", "block").applyInArrow(lambda t: _exits(t, block), "f bigint, at bigint, exit bigint").filter("exit >= 0"), "exits")
     reached = links.filter("at = 0").select("f", F.col("at").alias("entry"))
     # Only candidates that are entered from another block matter between blocks.
