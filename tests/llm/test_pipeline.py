@@ -1,6 +1,10 @@
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline as pipeline
 import numpy as np
@@ -135,3 +139,16 @@ def test_odd_rows_pass_every_stage(spark):
             assert ids == Counter([1, 3, 6, 7, None])
         if name == "tokens":
             assert len(out) == len(odd) and all(r.round_trip for r in out)
+
+
+def test_executors_find_the_package_from_any_folder(tmp_path):
+    root = Path(pipeline.__file__).resolve().parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.queries()["op5_byte_cnn"](s, "/root/testdata/sf0.001").count() == 200
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=180, env=env)
