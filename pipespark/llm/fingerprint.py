@@ -24,6 +24,9 @@ from .common import Workspace
 #: Repeated fingerprints (16 bytes each) that are sent to every task; with more of them, the texts are shuffled to meet them.
 BROADCAST_ROWS = 1_000_000
 
+#: Ranges of keys at most; their bounds are a literal of the plan.
+MAX_RANGES = 20_000
+
 
 def canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with a column of the canonical form of a text column that has no nulls.
@@ -94,7 +97,7 @@ def with_next(df: DataFrame, columns: list[str], work: Workspace, key: str = "do
     The rows are cut into ranges of keys, and each range gets a copy of the first row of the range after it, so that
     ``lead`` inside a range is enough: the only wide move is one shuffle by range.
     """
-    pieces = 4 * int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = min(MAX_RANGES, 4 * int(work.spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = F.percentile_approx(key, F.array(*[F.lit(i / pieces) for i in range(pieces)]), max(10_000, 10 * pieces))
     ends = df.agg(cuts.alias("cuts"), F.min(key).alias("low"), F.count("*").alias("rows"), F.count(key).alias("keys")).first()
     bounds = sorted({ends["low"], *(ends["cuts"] or [])} - {None})
