@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -65,3 +66,5 @@ def _clean() -> None:
             _delete(spark, root)
         except Exception:  # the session may be gone by now; the folder is then the cluster's to clear
             pass
+    for own in _own:
+        shutil.rmtree(own.removeprefix("file://"), ignore_errors=True)
