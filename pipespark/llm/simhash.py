@@ -189,10 +189,10 @@ def near_duplicates(df: DataFrame, work: Workspace, key: str = "doc_id", text: s
 
 
 #: Texts of a group of candidates that a task compares at once (twice this, for a pair of blocks).
-SET_BLOCK = 512
+SET_BLOCK = 256
 
 #: Bytes of shingle hashes of such a block; a text's own are 8 bytes a word.
-SET_BYTES = 8 << 20
+SET_BYTES = 2 << 20
 
 #: Ids that are sent to every task; with more of them, the texts are shuffled to meet them.
 BROADCAST_ROWS = 2_000_000
