@@ -71,7 +71,10 @@ def components(edges: DataFrame, work: Workspace, max_rounds: int = 60, at_once:
     Nodes without edges don't appear.
     """
     forest = lambda e: map_batches(e, _forest, "a bigint, b bigint")
-    now = work.keep(forest(edges.select("a", "b").filter("a <> b")).distinct(), "edges")
+    # Edges often come from a Python function: written first, so that no task runs two Python workers.
+    given = work.keep(edges.select("a", "b").filter("a <> b"), "given")
+    now = work.keep(forest(given).distinct(), "edges")
+    work.drop(given)
     if now.count() <= at_once:
         stars = work.keep(forest(now.coalesce(1)), "stars")
         return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
