@@ -12,8 +12,8 @@ members reach one task in blocks of bounded size (a larger bucket becomes a grid
 the bucket's spanning forest of links, never its pairs.
 
 ``near_duplicates`` links by fingerprints alone.  ``similar_groups`` finds candidates in the same way, by several
-fingerprints of the texts' distinct words, which differ in few bits for texts that share most passages, and then
-compares the candidates' sets of word shingles exactly.
+fingerprints of the texts' distinct words, which differ in few bits for texts that share most passages, and then by an
+exact prefix filter on word shingles; it compares the candidates' sets of word shingles exactly.
 
 Edge cases: a null, empty or wordless text has fingerprint zero and links like any other.  A text with fewer
 words than a shingle is one shingle.  Ties in the vote (exactly half) give 0.  A null id takes part, but can
@@ -288,6 +288,135 @@ def _alike_in_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> It
         yield links()
 
 
+# Exact candidates
+
+
+#: Texts whose prefixes hold a shingle before it is moved to the end of the order, and the most shingles so moved.
+COMMON, MOST_COMMON = 64, 1_000_000
+
+#: Texts of a shingle that a task pairs at once (twice this, for a pair of blocks).
+PREFIX_BLOCK = 1024
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    """The 32 bits of a hash that name it where shingles are counted; two shingles of one name only share their place in the order."""
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def prefix(bag: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of a sorted set of n hashes, those whose name is among ``common`` (sorted) ordered last.
+
+    Two sets of at least this similarity share an element of their prefixes, whatever the order, if it is one for all sets.
+    """
+    if len(common) and len(bag):
+        at = np.minimum(np.searchsorted(common, _low(bag)), len(common) - 1)
+        bag = bag[np.argsort(common[at] == _low(bag), kind="stable")]
+    return bag[: len(bag) - int(np.ceil(similarity * len(bag) - 1e-6)) + 1]
+
+
+def prefix_pairs(texts: DataFrame, work: Workspace, size: int, similarity: float, common: int = COMMON, block: int = PREFIX_BLOCK) -> DataFrame:
+    """(a, b), a < b: every pair of texts of different components that can be similar enough; few others.
+
+    texts: columns id, component of bigint, text of binary.  Shingles that many prefixes hold are moved to the end of the order,
+    so that passages that many texts quote don't pair them.  Texts of one component are tied already and aren't paired.
+    """
+    spark = texts.sparkSession
+
+    def rows(moved: np.ndarray, full: bool) -> DataFrame:
+        shared = spark.sparkContext.broadcast(moved)  # bounded by MOST_COMMON
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, j, data, at in chunks(b.column(2)):
+                    raw, at = data.tobytes(), at.tolist()
+                    bags = [np.unique(shingle_hashes(raw[at[k] : at[k + 1]], size)) for k in range(j - i)]
+                    heads = [prefix(x, similarity, shared.value) for x in bags]
+                    head = np.concatenate(heads)
+                    if not full:
+                        yield batch(name=_low(head))
+                        continue
+                    many = np.array([len(x) for x in heads])
+                    own = lambda c, m=many, b=b, i=i, j=j: np.repeat(b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False), m)
+                    yield batch(s=head.view(np.int64), id=own(0), c=own(1), n=np.repeat(np.array([len(x) for x in bags], np.int32), many))
+
+        return map_batches(texts, run, "s bigint, id bigint, c bigint, n int" if full else "name bigint")
+
+    def above(moved: np.ndarray, least: int) -> DataFrame:
+        return rows(moved, False).groupBy("name").count().filter(F.col("count") > least)
+
+    often = work.keep(above(np.zeros(0, np.int64), min(common, block)), "common")
+    moved = np.sort(often.orderBy(F.desc("count"), "name").limit(MOST_COMMON).select("name").toArrow().column(0).to_numpy())
+    every = rows(moved, True).withColumn("g", F.lit(0))
+    if len(moved):  # else no shingle is in more than a block of texts
+        large = work.keep(above(moved, block), "large-shingles")
+        if large.limit(1).count():
+            blocks = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block)).cast("int")
+            every = every.withColumn("name", F.col("s").bitwiseAND(F.lit(0xFFFFFFFF))).join(large, "name", "left").withColumn("blocks", blocks)
+            every = every.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            every = every.withColumn("g", (F.least("own", "j") * F.col("blocks") + F.greatest("own", "j")).cast("int"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = every.select("s", "g", "id", "c", "n").repartition(parts, "s", "g").sortWithinPartitions("s", "g")
+    met = map_batches(dealt, functools.partial(_met, similarity=similarity), "s bigint, a bigint, b bigint, na int, nb int")
+    # Written first, so that no task runs two Python workers.  A pair of one block of a large shingle meets in several grid cells.
+    met = work.keep(met, "met").distinct() if len(moved) else work.keep(met, "met")
+    # A prefix element of the set whose prefix ends first is in the other's prefix or not in the other at all.
+    rest = lambda n: F.ceil(F.col(n) * F.lit(similarity) - F.lit(1e-6)) - 1
+    both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).filter(F.col("k") + F.greatest(rest("na"), rest("nb")) >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+    return both.select("a", "b").distinct()
+
+
+def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Reads rows (s, g, id, c, n) sorted by (s, g); yields the pairs of each group that aren't of one component, if their sizes allow the similarity."""
+    held: list[np.ndarray] = []
+
+    def pairs(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        s, g, ids, c, n = x
+        new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])))
+        ends = np.append(new[1:], len(s))
+        mixed = np.minimum.reduceat(c, new) != np.maximum.reduceat(c, new)
+        end = np.repeat(ends, ends - new)
+        live = np.flatnonzero(np.repeat(mixed, ends - new))
+        lag = 1
+        while True:
+            live = live[live + lag < end[live]]
+            if not len(live):
+                return
+            i, j = live, live + lag
+            ok = (c[i] != c[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+            i, j = i[ok], j[ok]
+            if len(i):
+                turn = ids[i] > ids[j]
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                yield batch(s=s[i], a=ids[i], b=ids[j], na=n[i], nb=n[j])
+            lag += 1
+
+    for x in regrouped(batches, 100_000):
+        if not x.num_rows:
+            continue
+        now = [x.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        if held:
+            now = [np.concatenate([p, q]) for p, q in zip(held, now, strict=True)]
+        new = np.flatnonzero(np.append(True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])))
+        last = int(new[-1])  # its group may go on in the next batch
+        held = [c[last:] for c in now]
+        if last:
+            yield from pairs([c[:last] for c in now])
+    if held:
+        yield from pairs(held)
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Reads rows (a, b, x, y) of pairs and their bags; yields the pairs that are similar."""
+    for t in batches:
+        near = []
+        for x, y in zip(t.column(2), t.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(common >= similarity * max(1, len(x) + len(y) - common))
+        keep = np.flatnonzero(near)
+        yield t.select(["a", "b"]).take(pa.array(keep))
+
+
 def near_some(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """df's rows whose key is (left_semi) or isn't (left_anti) among ids, a written table with a column of that name; few ids are sent to every task."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)
@@ -296,9 +425,10 @@ def near_some(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -
 def similar_groups(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 4, prints: int = 5, block: int = SET_BLOCK) -> DataFrame:
     """(key, component_id) of the rows whose key isn't null: texts tied by links of at least ``similarity`` share the smallest key reachable.
 
-    Similarity is Jaccard's of the sets of ``size``-word shingles.  Candidates are texts tied by a fingerprint of their
-    distinct words within the radius; all pairs inside such a group are compared, in blocks, so a miss is only possible where
-    all ``prints`` fingerprints of all connecting pairs are further apart (no pair of 43 between 0.8 and 1 in the 10,000-document table; with four fingerprints one).
+    Similarity is Jaccard's of the sets of ``size``-word shingles.  Candidates by fingerprints come first: texts tied by a fingerprint
+    of their distinct words within the radius; all pairs inside such a group are compared, in blocks.  They tie large groups of near
+    copies cheaply, but miss most pairs that differ in one long passage.  Then a prefix filter on shingles finds every other
+    pair between the components so far, and each is compared; no pair is missed.
     """
     marks = work.keep(word_prints(df.filter(F.col(key).isNotNull()), prints, key, text), "prints")
     points = work.keep(marks.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("fps").alias("fps")), "distinct")
@@ -318,7 +448,16 @@ def similar_groups(df: DataFrame, work: Workspace, key: str = "doc_id", text: st
     pair = F.least("own", "j") * F.col("blocks") + F.greatest("own", "j")
     parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.select(F.col("component").alias("c"), pair.alias("g"), "id", "bag").repartition(parts, "c", "g").sortWithinPartitions("c", "g")
-    edges = map_batches(dealt, functools.partial(_alike_in_groups, similarity=similarity), "a bigint, b bigint")
-    tied = components(edges, work)
+    edges = work.keep(map_batches(dealt, functools.partial(_alike_in_groups, similarity=similarity), "a bigint, b bigint"), "near")
+    tied = work.keep(components(edges, work), "tied")
+    firm = work.keep(points.select("id").distinct().join(tied, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component")), "firm")
+    texts = near_some(df.select(F.col(key).cast("bigint").alias("id"), utf8(text).alias("bytes")), firm, "id", "inner").select("id", "component", "bytes")
+    pairs = work.keep(prefix_pairs(texts, work, size, similarity), "pairs")
+    ends = work.keep(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct(), "ends")
+    bags = shingle_sets(near_some(df, ends, key).select(key, text), size, key, text)
+    bags = work.keep(bags.groupBy("id").agg(F.min("bag").alias("bag")), "pair-bags")
+    held = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
+    more = work.keep(map_batches(held.select("a", "b", "x", "y"), functools.partial(_similar, similarity=similarity), "a bigint, b bigint"), "more")
+    tied = components(edges.union(more), work)
     classes = points.join(tied, points["id"] == tied["node"], "left").select("h", "g", F.coalesce("component", "id").alias("component_id"))
     return marks.join(classes, ["h", "g"]).select(F.col("id").alias(key), "component_id")

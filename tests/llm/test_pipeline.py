@@ -78,6 +78,40 @@ def test_a_large_group_of_near_copies_is_compared_in_blocks(spark, block):
     assert got[2000] == got[2001] == got[2002] == 2000 and got[2004] == 2003 and got[2005] == 2005
 
 
+def edited_pairs(n_each, seed=3):
+    """Texts and near copies with one long edit: appended to, cut short, or with a block replaced; similarity 0.8 at least."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    rows, of = [], {}
+    for kind in ("appended", "cut", "block"):
+        for _ in range(n_each):
+            base = [rng.choice(vocabulary) for _ in range(rng.randint(150, 600))]
+            n, other = len(base), [rng.choice(vocabulary) for _ in range(200)]
+            near = {"appended": base + other[: int(0.22 * n)], "cut": base[: int(0.83 * n)], "block": base[: n // 2] + other[: int(0.085 * n)] + base[n // 2 + int(0.085 * n) :]}[kind]
+            of[len(rows)] = kind
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near))]
+    return rows, of
+
+
+def test_near_copies_with_one_long_edit_are_all_found(spark):
+    rows, of = edited_pairs(40)
+    links = brute_links(rows)
+    assert len(links) >= 0.9 * len(of)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_frame(spark, rows), Workspace(spark)).collect()}
+    assert got == groups_of([k for k, _ in rows], links)
+
+
+@pytest.mark.parametrize(("common", "block"), [(64, 1024), (3, 1024), (3, 4)])
+def test_prefix_pairs_hold_every_similar_pair(spark, common, block):
+    rows, _ = edited_pairs(15)
+    passage = " ".join(f"licence{i}" for i in range(40))
+    rows = [(k, f"{t} {passage}" if k % 4 < 2 else t) for k, t in rows] + [(1000 + i, f"{passage} only{i} {i}") for i in range(20)]
+    links = brute_links(rows)
+    texts = docs_frame(spark, rows).selectExpr("doc_id id", "doc_id component", "cast(text as binary) text")
+    got = [(r.a, r.b) for r in simhash.prefix_pairs(texts, Workspace(spark), 5, 0.8, common, block).collect()]
+    assert len(got) == len(set(got)) and links <= set(got)
+
+
 def test_alike_equals_jaccard():
     rng = np.random.default_rng(0)
     bags = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(60)] + [np.zeros(0, np.uint64)] * 2
