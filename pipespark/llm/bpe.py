@@ -125,21 +125,22 @@ class Codec:
         return self.decode(ids).decode("utf-8", errors="replace")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def _codec_of(shared) -> Codec:
-    """The worker's codec of a broadcast; a worker keeps one."""
-    key = id(shared.value)
+    """The worker's codec of a broadcast, known by a digest of the vocabulary; a worker keeps one."""
+    key, *parts = shared.value
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(*shared.value)
+        _codecs[key] = Codec(*parts)
     return _codecs[key]
 
 
 def _share(spark: SparkSession, path: str, pattern: str):
     ranks = read_ranks(path)
-    return spark.sparkContext.broadcast((ranks, merge_pairs(ranks), pattern))
+    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    return spark.sparkContext.broadcast((key, ranks, merge_pairs(ranks), pattern))
 
 
 def _texts(column: pa.Array, rows: int = _ROWS) -> Iterator[list[str]]:

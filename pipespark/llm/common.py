@@ -28,7 +28,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bytes of text that a kernel works on at once; bounds its temporary arrays.
 CHUNK_BYTES = 4 << 20
 
-#: Rows of an Arrow batch, where the session keeps Spark's default of 10,000: texts of some kilobytes then make batches of megabytes.
+#: Rows of an Arrow batch, where the session doesn't say: texts of some kilobytes then make batches of megabytes.
 BATCH_ROWS = 512
 
 
@@ -44,7 +44,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    path = f"{Workspace(spark).path('code')}/pipespark_sources.zip"
+    path = f"{Workspace(spark, lasting=True).path('code')}/pipespark_sources.zip"
     Storage(spark).write(path, packed.getvalue())
     context.addPyFile(path)
     _shipped.add(context.applicationId)
@@ -54,11 +54,19 @@ def bounded(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches are small enough for rows that hold texts, and whose executors have the package."""
     ship(df.sparkSession)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
+    if not df.sparkSession._jsparkSession.conf().contains(name):  # a value that was set is left alone
         df.sparkSession.conf.set(name, BATCH_ROWS)
     return df
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def tidy() -> None:
     """Gives freed memory back to the system, so that an idle Python worker holds little."""
     pa.default_memory_pool().release_unused()

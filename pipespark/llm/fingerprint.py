@@ -4,11 +4,12 @@ The canonical form of a text is NFKC, full case folding, NFKC again, every run o
 the ends.  Its fingerprint is 128 bits: two xxhash64 of the form, the second over a leading constant as well.
 Equal fingerprints of different texts would be a false match, so buckets that hold several documents are compared by
 bytes: grouping by (fingerprint, form) combines equal forms before anything is shuffled, and a bucket that still has
-several forms has them numbered in byte order; all but the first get the number as a suffix.
+several forms has them numbered in byte order; all but the first get the number as a suffix.  An edited text that has the
+hash of a document's is compared with that document's form in the same way.
 
 Edge cases: a null text counts as empty; the empty text has a fingerprint of its own, shared by all texts of white
 space only.  Texts of any length are done whole.  Repeated rows and repeated ids are kept; rows of equal id follow
-each other in the order of their text; null ids come first.  Extra columns play no part.
+each other in the order of their text, in one task for each id; null ids come first.  Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -28,16 +29,15 @@ BROADCAST_ROWS = 1_000_000
 MAX_RANGES = 20_000
 
 
-def canonical(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with a column of the canonical form of a text column that has no nulls.
+def _form(text: str) -> Column:
+    """The canonical form of a text column that has no nulls.
 
     Spark SQL reaches Unicode normalisation and case folding through its own bundled ICU classes.
     """
     compose = "java_method('com.ibm.icu.text.Normalizer', 'compose', {}, true)"
     fold = f"java_method('com.ibm.icu.lang.UCharacter', 'foldCase', {compose.format(f'`{text}`')}, true)"
-    df = df.withColumn(out, F.expr(compose.format(fold)))
     # After NFKC these are the white-space characters that are left.
-    return df.withColumn(out, F.trim(F.regexp_replace(out, "[\\t-\\r \\x85\\u1680\\u2028\\u2029]+", " ")))
+    return F.trim(F.regexp_replace(F.expr(compose.format(fold)), "[\\t-\\r \\x85\\u1680\\u2028\\u2029]+", " "))
 
 
 def wide_hash(form: Column) -> list[Column]:
@@ -46,7 +46,7 @@ def wide_hash(form: Column) -> list[Column]:
 
 
 def hashed(df: DataFrame, text: str, form: str, a: str, b: str, hasher=wide_hash) -> DataFrame:
-    df = canonical(df, text, form)
+    df = df.withColumn(form, _form(text))
     return df.withColumns(dict(zip((a, b), hasher(F.col(form)), strict=True)))
 
 
@@ -55,27 +55,42 @@ def _rendered(a: str, b: str, n: str | None) -> Column:
     return text if n is None else F.concat(text, F.when(F.col(n) > 0, F.concat(F.lit("-"), F.col(n).cast("string"))).otherwise(""))
 
 
-def collisions(docs: DataFrame, work: Workspace, hasher=wide_hash) -> DataFrame | None:
-    """(a, b, form, n) of the fingerprints that different forms share, or None if there are none.
+def _marks(docs: DataFrame, work: Workspace, key: str, hasher) -> DataFrame:
+    """(k, a, b): a hash of each row's key and the two halves of its text's."""
+    return work.keep(hashed(docs, "text", "form", "a", "b", hasher).select(F.xxhash64(key).alias("k"), "a", "b"), "marks")
 
-    docs: a column ``text`` without nulls.
+
+def _forms(docs: DataFrame, marks: DataFrame, wanted: DataFrame, work: Workspace, key: str, hasher) -> DataFrame:
+    """(a, b, form, n, forms) of every form of the wanted fingerprints, numbered from 0 in byte order; forms is how many a fingerprint has.
+
+    Only texts whose key has a wanted fingerprint are made canonical again.
     """
-    marks = work.keep(hashed(docs.select("text"), "text", "form", "a", "b", hasher).select("a", "b"), "marks")
+    few = lambda side: F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    side = few(wanted)
+    keys = work.keep(marks.join(side, ["a", "b"], "left_semi").select("k").distinct(), "keys")
+    some = docs.withColumn("k", F.xxhash64(key)).join(few(keys), "k", "left_semi").select("text")
+    forms = hashed(some, "text", "form", "a", "b", hasher).join(side, ["a", "b"], "left_semi").groupBy("a", "b", "form").agg(F.lit(1).alias("one"))
+    own = W.partitionBy("a", "b")
+    return forms.select("a", "b", "form", (F.row_number().over(own.orderBy("form")) - 1).alias("n"), F.count("*").over(own).alias("forms"))
+
+
+def _collisions(docs: DataFrame, marks: DataFrame, work: Workspace, key: str, hasher) -> DataFrame | None:
+    """(a, b, form, n) of the fingerprints that different forms share, or None if there are none."""
     many = work.keep(marks.groupBy("a", "b").agg(F.count("*").alias("rows")).filter("rows > 1").select("a", "b"), "repeated")
-    rows = many.count()
-    if not rows:
+    if not many.limit(1).count():
         return None
-    side = F.broadcast(many) if rows <= BROADCAST_ROWS else many
-    forms = hashed(docs.select("text"), "text", "form", "a", "b", hasher).join(side, ["a", "b"], "left_semi").groupBy("a", "b", "form").agg(F.lit(1).alias("one"))
-    forms = forms.select("a", "b", "form", F.count("*").over(W.partitionBy("a", "b")).alias("forms"), F.row_number().over(W.partitionBy("a", "b").orderBy("form")).alias("n"))
-    shared = work.keep(forms.filter("forms > 1").select("a", "b", "form", (F.col("n") - 1).alias("n")), "collisions")
+    shared = work.keep(_forms(docs, marks, many, work, key, hasher).filter("forms > 1").drop("forms"), "collisions")
     return shared if shared.limit(1).count() else None
 
 
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
 def fingerprints(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", hasher=wide_hash) -> DataFrame:
     """(key, fingerprint) of every row."""
-    docs = df.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    shared = collisions(docs, work, hasher)
+    docs = _texts(df, key, text)
+    shared = _collisions(docs, _marks(docs, work, key, hasher), work, key, hasher)
     out = hashed(docs, "text", "form", "a", "b", hasher)
     if shared is None:
         return out.select(key, _rendered("a", "b", None).alias("fingerprint"))
@@ -124,8 +139,9 @@ def compared(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "t
     (key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next); likeness is 1.0 for equal
     fingerprints and else 0.0: an exact digest knows no degrees.
     """
-    docs = df.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    shared = collisions(docs, work, hasher)
+    docs = _texts(df, key, text)
+    marks = _marks(docs, work, key, hasher)
+    shared = _collisions(docs, marks, work, key, hasher)
     own = hashed(docs, "text", "form", "a", "b", hasher)
     if shared is None:
         own = own.withColumn("n", F.lit(0))
@@ -136,16 +152,24 @@ def compared(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "t
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.substring("next_text", F.lit(1), F.col("cut")))
     pairs = pairs.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     pairs = hashed(pairs, "edited", "edited_form", "ea", "eb", hasher)
-    if shared is None:
-        pairs = pairs.withColumn("en", F.lit(0))
+    # Equal hashes are believed only when the forms are equal too.
+    meet = (F.col("a") == F.col("ea")) & (F.col("b") == F.col("eb"))
+    pairs = pairs.withColumn("alike", F.when(meet, _form("text") == F.col("edited_form")).otherwise(False))
+    after = (F.col("a") == F.col("next_a")) & (F.col("b") == F.col("next_b")) & (F.col("n") == F.col("next_n"))
+    narrow = [F.col(c) for c in (key, "n_chars", "edited_sha256", "a", "b", "n", "ea", "eb", "alike")] + [after.alias("after")]
+    flat = work.keep(pairs.select(*narrow), "compared")
+    strange = flat if shared is not None else flat.filter(~F.col("alike"))
+    hits = work.keep(strange.select(F.col("ea").alias("a"), F.col("eb").alias("b")).distinct().join(marks, ["a", "b"], "left_semi"), "hits")
+    if not hits.limit(1).count():
+        flat = flat.withColumn("en", F.lit(0))
     else:
-        # An edited text in a shared bucket that equals none of its forms is numbered after them.
-        forms = shared.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("form").alias("edited_form"), F.col("n").alias("en"))
-        last = shared.groupBy(F.col("a").alias("ea"), F.col("b").alias("eb")).agg((F.max("n") + 1).alias("other"))
-        pairs = pairs.join(forms, ["ea", "eb", "edited_form"], "left").join(last, ["ea", "eb"], "left").withColumn("en", F.coalesce("en", "other", F.lit(0)))
-    same = lambda a, b, n: F.when((F.col("a") == F.col(a)) & (F.col("b") == F.col(b)) & (F.col("n") == F.col(n)), 1.0).otherwise(0.0)
-    return pairs.select(
+        # Edited texts that have the hash of some document's: numbered like the form they equal, after all forms if they equal none.
+        forms = work.keep(_forms(docs, marks, hits, work, key, hasher), "hit-forms")
+        known = forms.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("form").alias("edited_form"), F.col("n").alias("en"))
+        last = forms.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("forms").alias("other")).distinct()
+        flat = pairs.select(*narrow, "edited_form").join(known, ["ea", "eb", "edited_form"], "left").join(last, ["ea", "eb"], "left").withColumn("en", F.coalesce("en", "other", F.lit(0)))
+    return flat.select(
         key, "n_chars", "edited_sha256",
         _rendered("a", "b", "n").alias("fingerprint"), _rendered("ea", "eb", "en").alias("edited_fingerprint"),
-        same("ea", "eb", "en").alias("near_edited"), same("next_a", "next_b", "next_n").alias("near_next"),
+        F.col("alike").cast("double").alias("near_edited"), F.col("after").cast("double").alias("near_next"),
     )

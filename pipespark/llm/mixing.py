@@ -12,13 +12,14 @@ at most about one document in each source; single documents are then added or dr
 Inside a cell of equal size the documents with a further copy are the first in the order of a hash of the id.
 
 Edge cases: a null source is a source of its own, weighted last; a null or wordless text has size 0 and takes no
-words; a source without words has target 0; an empty table gives an empty result.  Equal ids in one cell are ordered
+words; a source without words has target 0; an empty table gives an empty result; over MAX_SOURCES sources are an error.  Equal ids in one cell are ordered
 arbitrarily between themselves, which changes no sum.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,15 +84,23 @@ def _solve(cells: DataFrame, sources: DataFrame, want: dict[int, float], most: f
                 high[s] = now[s]
             else:
                 low[s] = now[s]
+            if high[s] - low[s] < 1e-13 * max(1.0, abs(now[s])):  # no nearer number is left
+                open_.discard(s)
+                continue
             step = now[s] - miss / slope if slope > 0 else math.inf
             now[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
+    if open_:
+        warnings.warn(f"the rates of {len(open_)} sources did not settle; the nearest found are taken", stacklevel=3)
     return now
 
 
-def mix(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """(key, source, size, source_size, target, rate, copies, taken): how often the mix takes each row, and the words it takes of it."""
+def mix(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, mark: str | None = None) -> DataFrame:
+    """(key, source, size, source_size, target, rate, copies, taken): how often the mix takes each row, and the words it takes of it.
+
+    mark: the column whose hash says which documents of equal source and size get a further copy; else the key.
+    """
     spark = df.sparkSession
-    docs = work.keep(df.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "sizes")
+    docs = work.keep(df.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(9), F.col(mark or key)).alias("mark")), "sizes")
     found = docs.groupBy("source", "size").agg(F.count("*").alias("n"))
     per = docs.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
     rows = per.limit(MAX_SOURCES + 1).collect()
@@ -134,8 +143,8 @@ def _repair(cells: DataFrame, work: Workspace, most: int, rounds: int = 4) -> Da
 
 def _deal(docs: DataFrame, cells: DataFrame, sources: DataFrame, work: Workspace, key: str, source: str) -> DataFrame:
     """Gives each document its cell's copies: the same to all, one more to the first by hash; large cells are ranked in salted parts."""
-    docs = docs.join(sources, docs["source"].eqNullSafe(sources["source"])).select("id", docs["source"], "s", "size", "words")
-    salted = docs.join(cells, ["s", "size"]).withColumn("mark", F.xxhash64(F.lit(9), F.col("id"))).withColumn("salt", F.pmod("mark", F.ceil(F.col("n") / F.lit(CELL))))
+    docs = docs.join(sources, docs["source"].eqNullSafe(sources["source"])).select("id", "mark", docs["source"], "s", "size", "words")
+    salted = docs.join(cells, ["s", "size"]).withColumn("salt", F.pmod("mark", F.ceil(F.col("n") / F.lit(CELL))))
     large = salted.filter(F.col("n") > CELL).groupBy("s", "size", "salt").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("copies").alias("copies"))
     # Of the cell's extra copies, each salted part takes a share in proportion to its rows, rounded by running sums.
     w = W.partitionBy("s", "size").orderBy("salt")

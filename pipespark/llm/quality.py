@@ -5,14 +5,15 @@ target text, one of all text.  A document's log importance weight is the log rat
 "Data Selection for Language Models via Importance Resampling", 2023).  Documents are drawn without replacement by
 Gumbel top-k: to the weight a Gumbel noise is added, and the k largest sums are kept.
 
-The full log ratio grows with length and would rank by it, since n-grams of a text aren't independent; the draw uses
-the mean per n-gram times EVIDENCE, the number of n-grams taken as independent.  Noise is a hash of the id, so reruns agree.
+The draw adds the noise to the plain log ratio, unless ``evidence`` is given: the full ratio grows with length and ranks by
+it, since n-grams of a text aren't independent, so ``evidence`` says how many n-grams count as independent, and the weight
+becomes the mean per n-gram times it.  Noise is a hash of the id, so reruns agree.
 
 The target model is learned from at most TARGET_DOCS labelled documents (a hash of the id picks them); the raw model, the
 weights and the draw cover all documents.  k is the share of good ones among all labels, times the number of documents.
 
 Edge cases: a null, empty or white text has no n-grams and weight 0, neither good nor bad.  Ties at the cut go to the
-smaller id; rows equal in both share their fate.  With no labels at all k is all.  Extra columns play no part.  Texts of any length are done whole, in chunks.
+smaller id, null ids before all others; rows equal in both share their fate, so that more than k rows may be in.  With no labels at all k is all.  Extra columns play no part.  Texts of any length are done whole, in chunks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import LOWER, Workspace, batch, chunks, map_batches, utf8
 
 BUCKETS = 10_000
 TARGET_DOCS = 20_000
+
+#: N-grams of a text that the registered queries count as independent.
 EVIDENCE = 400
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -100,8 +103,8 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return (np.log(p) - np.log(q) if target.sum() else np.zeros(BUCKETS)), share
 
 
-def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_grams, log_weight, gumbel_key) of every row."""
+def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", evidence: float | None = None) -> DataFrame:
+    """(key, n_grams, log_weight, gumbel_key) of every row; log_weight is the plain log ratio."""
     kind = df.schema[key].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(ratio)
 
@@ -116,7 +119,8 @@ def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "te
     out = map_batches(df.select(key, utf8(text)), run, f"`{key}` {kind}, n_grams bigint, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     noise = -F.log(-F.log(uniform))
-    return out.withColumn("gumbel_key", F.col("log_weight") / F.greatest("n_grams", F.lit(1)) * EVIDENCE + noise)
+    weight = F.col("log_weight") if evidence is None else F.col("log_weight") / F.greatest("n_grams", F.lit(1)) * float(evidence)
+    return out.withColumn("gumbel_key", weight + noise)
 
 
 def top_k(df: DataFrame, k: int, value: str, tie: str, out: str = "selected") -> DataFrame:
@@ -146,15 +150,17 @@ def top_k(df: DataFrame, k: int, value: str, tie: str, out: str = "selected") ->
             break
     # All rows left share one value: the k - above smallest ids of them are in.
     tied = df.filter(F.col(value) == low)
-    last = None
-    if above + (m := tied.count()) > k:
-        last = _nth_smallest(tied, k - above, tie, m)
-    edge = (F.col(value) == low) if last is None else (F.col(value) == low) & (F.col(tie) <= F.lit(last))
+    rows, known = tied.agg(F.count("*"), F.count(tie)).first()
+    edge, wanted = F.col(value) == low, k - above
+    if wanted < rows:
+        first = F.col(tie).isNull()  # null ids come first
+        nulls = rows - known
+        edge &= first | (F.col(tie) <= F.lit(_nth_smallest(tied, wanted - nulls, tie))) if wanted > nulls else first
     return df.withColumn(out, F.coalesce((F.col(value) > low) | edge, F.lit(False)))
 
 
-def _nth_smallest(df: DataFrame, n: int, column: str, rows: int) -> int:
-    """The n-th smallest of an integer column, by halving its range."""
+def _nth_smallest(df: DataFrame, n: int, column: str) -> int:
+    """The n-th smallest of an integer column's values that aren't null, by halving its range."""
     low, high = df.agg(F.min(column), F.max(column)).first()
     while low < high:
         middle = (low + high) // 2
@@ -165,8 +171,8 @@ def _nth_smallest(df: DataFrame, n: int, column: str, rows: int) -> int:
     return low
 
 
-def resample(df: DataFrame, labels: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", share: float | None = None) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", share: float | None = None, evidence: float | None = None) -> DataFrame:
     """(key, n_grams, log_weight, gumbel_key, selected) of every row; share: of all documents, else as good as the labels say."""
     ratio, good = learn(df, labels, key, text)
-    keys = work.keep(weigh(df, ratio, key, text), "weights")
+    keys = work.keep(weigh(df, ratio, key, text, evidence), "weights")
     return top_k(keys, round(keys.count() * (good if share is None else share)), "gumbel_key", key)

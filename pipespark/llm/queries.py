@@ -39,7 +39,7 @@ def op2_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark), evidence=quality.EVIDENCE)
 
 
 def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

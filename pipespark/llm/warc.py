@@ -9,11 +9,11 @@ candidates' offsets and the offset at which the header's Content-Length puts the
 if the chain of successors from the start of the file reaches it.  The chain is followed by pointer jumping: first
 inside blocks of a bounded number of bytes, then between blocks, doubling the step in each round.
 
-Edge cases: a null payload is empty; a null URL leaves the header out, and control characters in a URL are written as
-%XX; a null id is written as ``null`` and comes after all others when the first of equal payloads is chosen; rows that
+Edge cases: a null payload is empty; a null URL leaves the header out, and each control character or space in a URL is
+written as %20; a null id is written as ``null`` and comes after all others when the first of equal payloads is chosen; rows that
 repeat the smallest id of a payload are all responses.  An empty table gives archives without records.  A record whose
-successor lies beyond the end of the file is truncated: it ends the chain and is left out.  Payloads may hold any bytes,
-the magic line included.  Extra columns play no part.
+successor lies beyond the end of the file is truncated: it ends the chain and is left out.  Payloads that are read may hold
+any bytes, the magic line included; a response whose block is no HTTP message is all payload.  Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -87,7 +87,10 @@ def write(df: DataFrame, path: str, work: Workspace, key: str = "page_id", url:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between magic lines: (file, split, seq, value); seq rises inside a split."""
+    """What stands between magic lines: (file, split, seq, value); seq rises inside a split.
+
+    Splits and seq belong to one read: another may be dealt to tasks otherwise.  What is to be joined by them must be written once.
+    """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size"), "value").withColumn("seq", F.monotonically_increasing_id())
 
@@ -112,8 +115,10 @@ def _candidates(pieces: DataFrame) -> DataFrame:
 def _payload(value: str) -> Column:
     """The payload's bytes of a whole record: the block without its HTTP header."""
     block = F.expr(f"substring(cast({value} as binary), cast(head_bytes + {len(END)} + 1 as int), cast(length as int))")
-    http = F.expr(f"octet_length(substring_index(substring({value}, length(head) + {len(END)} + 1), '\\r\\n\\r\\n', 1)) + {len(END)}")
-    return F.when(F.col("type") == "response", F.substring(block, (http + 1).cast("int"), F.col("length").cast("int"))).otherwise(block)
+    text = block.cast("string")
+    http = (F.col("type") == "response") & text.startswith("HTTP/") & text.contains(END)
+    start = F.octet_length(F.substring_index(text, END, 1)) + len(END) + 1
+    return F.when(http, F.substring(block, start, F.col("length").cast("int"))).otherwise(block)
 
 
 def _exits(table: pa.Table, block: int) -> pa.Table:
@@ -206,7 +211,10 @@ def read(spark: SparkSession, path: str, work: Workspace, payloads: bool = False
     only those of records that hold a magic line are moved at all.
     """
     narrow = ["f", "split", "seq", "file_size", "piece", "head_bytes", "length", "extent", "whole", "type", "id", "uri", "refers", "said_digest", "said_bytes"]
-    rows = _candidates(_pieces(spark, path)).withColumn("f", F.xxhash64("file"))
+    raw = _pieces(spark, path)
+    if payloads:
+        raw = work.keep(raw, "pieces-whole")
+    rows = _candidates(raw).withColumn("f", F.xxhash64("file"))
     got = rows.withColumn("payload", F.when(F.col("whole"), _payload("value")))
     got = got.select("file", *narrow, F.octet_length("payload").cast("bigint").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
     found = work.keep(_placed(work.keep(got, "pieces")), "candidates")
@@ -219,25 +227,33 @@ def read(spark: SparkSession, path: str, work: Workspace, payloads: bool = False
         whole = records.filter("whole").select(*columns)
         if not torn.limit(1).count():
             return whole
-        return whole.union(_joined(spark, path, found, torn, work).select(*columns))
-    # All bytes: the pieces are read again and meet their records by their place in the split.
+        # The files with such records are read once more and written, and their offsets made again from that.
+        files = work.keep(torn.select("file").distinct(), "torn-files")
+        small = files.count() <= BROADCAST_ROWS
+        again = work.keep(_pieces(spark, path).join(F.broadcast(files) if small else files, "file", "left_semi"), "torn-pieces")
+        places = again.select(F.xxhash64("file").alias("f"), "file", "split", "seq", F.octet_length("value").cast("bigint").alias("piece"))
+        return whole.union(_joined(again, work.keep(_placed(places), "torn-places"), torn).select(*columns))
+    # All bytes: the pieces meet their records by their place in the split.
     place = records.filter("whole").select("file", "split", "seq", *[c for c in columns if c != "file"], "head_bytes", "length")
-    raw = _pieces(spark, path).withColumn("head", F.substring_index("value", END, 1))
-    whole = raw.select("file", "split", "seq", "head", "value").join(place, ["file", "split", "seq"]).withColumn("payload", _payload("value")).select(*columns, "payload")
-    return whole.union(_joined(spark, path, found, torn, work).select(*columns, "payload"))
+    full = raw.withColumn("head", F.substring_index("value", END, 1))
+    whole = full.select("file", "split", "seq", "head", "value").join(place, ["file", "split", "seq"]).withColumn("payload", _payload("value")).select(*columns, "payload")
+    return whole.union(_joined(raw, found, torn).select(*columns, "payload"))
 
 
-def _joined(spark: SparkSession, path: str, found: DataFrame, torn: DataFrame, work: Workspace) -> DataFrame:
-    """Records whose payload holds magic lines, put together from their pieces; each group is one record's bytes."""
+def _joined(raw: DataFrame, found: DataFrame, torn: DataFrame) -> DataFrame:
+    """Records whose payload holds magic lines, put together from their pieces; each group is one record's bytes.
+
+    raw: written pieces; found: their offsets.  All pieces of a record are joined at once.
+    """
     owner = torn.select("f", F.col("at").alias("own"), (F.col("at") + F.col("extent")).alias("end"), F.col("head_bytes").alias("hb"), F.col("length").alias("len"), *[F.col(c).alias(f"o_{c}") for c in ("type", "id", "uri", "refers", "said_digest", "said_bytes")])
     # A torn record meets only the pieces of the blocks of the file that it covers.
     blocks = F.explode(F.sequence(F.expr(f"own div {BLOCK_BYTES}"), F.expr(f"(end - 1) div {BLOCK_BYTES}")))
     owner = owner.withColumn("block", blocks)
     parts = found.filter("at >= 0").withColumn("block", F.expr(f"at div {BLOCK_BYTES}"))
     parts = parts.join(owner, ["f", "block"]).filter("at >= own and at < end").select("file", "split", "seq", "at", *[c for c in owner.columns if c not in ("f", "block")])
-    raw = _pieces(spark, path).select("file", "split", "seq", F.col("value").cast("binary").alias("value"))
+    raw = raw.select("file", "split", "seq", F.col("value").cast("binary").alias("value"))
     many = raw.join(parts, ["file", "split", "seq"]).groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"), *[F.first(c).alias(c) for c in ("hb", "len", "o_type", "o_id", "o_uri", "o_refers", "o_said_digest", "o_said_bytes")])
-    glued = F.aggregate("parts", F.lit(b"").cast("binary"), lambda x, p: F.concat(x, F.when(F.octet_length(x) > 0, F.lit(MAGIC.encode())).otherwise(F.lit(b"")), p["value"]))
+    glued = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["value"])), MAGIC.encode().hex().upper()))
     rows = many.withColumn("all", glued).withColumns({"head_bytes": F.col("hb"), "length": F.col("len"), "type": F.col("o_type"), "id": F.col("o_id"), "uri": F.col("o_uri"), "refers": F.col("o_refers"), "said_digest": F.col("o_said_digest"), "said_bytes": F.col("o_said_bytes"), "at": F.col("own")})
     rows = rows.withColumn("value", F.col("all").cast("string")).withColumn("head", F.substring_index("value", END, 1)).withColumn("payload", _payload("value"))
     return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": sha1_base32(F.col("payload"))})

@@ -78,3 +78,17 @@ def test_equal_digests_of_different_texts_are_told_apart(spark):
     assert len({next(iter(v)) for v in prints.values()}) == len(prints)
     plain = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(df, Workspace(spark), hasher=weak).collect()}
     assert plain == {k: got[k].fingerprint for k in plain}
+    named = {f: next(iter(v)) for f, v in prints.items()}
+    for k, e, after in edited(rows):
+        assert got[k].near_edited == float(form(e) == form(rows[k][1])) and got[k].near_next == float(form(after) == form(rows[k][1]))
+        assert got[k].edited_fingerprint == named[form(e)] if form(e) in named else got[k].edited_fingerprint not in named.values()
+
+
+def test_edited_texts_are_compared_by_bytes_too(spark):
+    """No two documents share a hash, but edited texts have those of their own and of other documents."""
+    weak = lambda f: [F.length(f).cast("bigint"), F.lit(0).cast("bigint")]
+    rows = [(0, "abcd"), (1, "xyzwvu"), (2, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.compared(df, Workspace(spark), hasher=weak).collect()}
+    assert [got[k].near_edited for k in range(3)] == [0.0, 0.0, 1.0]
+    assert got[0].edited_fingerprint != got[0].fingerprint and got[1].edited_fingerprint != got[1].fingerprint and got[2].edited_fingerprint == got[2].fingerprint

@@ -132,3 +132,24 @@ def test_top_k_ties_and_odd_rows(spark):
     got = quality.resample(odd, none, Workspace(spark)).collect()
     assert len(got) == 5 and all(r.selected and r.log_weight == 0 for r in got)
     assert quality.resample(odd.limit(0), none, Workspace(spark)).count() == 0
+
+
+def test_null_ids_at_the_cut(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    same = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "a b")], "doc_id long, text string")
+    assert [r.selected for r in quality.resample(same, none, Workspace(spark), share=0.4).collect()] == [True] * 3
+    df = spark.createDataFrame([(None, 1.0), (5, 1.0), (3, 1.0), (9, 2.0), (None, 0.5)], "doc_id long, v double").cache()
+    for k, want in ((1, {9}), (2, {9, None}), (3, {9, None, 3}), (4, {9, None, 3, 5})):
+        assert {r.doc_id for r in quality.top_k(df, k, "v", "doc_id").collect() if r.selected} == want
+
+
+def test_the_plain_ratio_is_the_weight_unless_evidence_is_given(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a"), (3, "")], "doc_id long, text string")
+    ratio = np.linspace(-1, 1, quality.BUCKETS)
+    plain = {r.doc_id: r for r in quality.weigh(df, ratio).collect()}
+    shrunk = {r.doc_id: r for r in quality.weigh(df, ratio, evidence=10).collect()}
+    noise = plain[3].gumbel_key
+    assert plain[3].log_weight == 0 and shrunk[3].gumbel_key == noise
+    for k in (1, 2):
+        p, s = plain[k], shrunk[k]
+        assert np.isclose(p.gumbel_key - p.log_weight, s.gumbel_key - s.log_weight / s.n_grams * 10)

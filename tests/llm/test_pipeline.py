@@ -12,6 +12,7 @@ import pytest
 from pipespark.llm import queries, simhash
 from pipespark.llm.common import Workspace
 from pipespark.llm.components import roots
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -186,3 +187,33 @@ assert e.queries()["op5_byte_cnn"](s, "/root/testdata/sf0.001").count() == 200
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=180, env=env)
+
+
+def test_mixture_does_not_depend_on_how_its_input_is_read(spark):
+    docs = Workspace(spark).keep(queries.table(spark, SF, "documents").repartition(9).withColumn("copies", F.lit("mine")).withColumn("row", F.col("doc_id")), "in")
+    name, seen = "spark.sql.leafNodeDefaultParallelism", []
+    for before, after in (("4", "24"), ("24", "4")):
+        try:
+            spark.conf.set(name, before)
+            out = dict(pipeline.STAGES)["mixture"](spark, docs, SF)
+            spark.conf.set(name, after)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+            rows = out.collect()
+        finally:
+            spark.conf.unset(name)
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert out.columns == [*COLUMNS, "copies", "row"] and all(r.row == r.doc_id and r["copies"] == "mine" for r in rows)
+        seen.append(Counter(r.doc_id for r in rows))
+    assert seen[0] == seen[1]
+
+
+def test_codecs_are_told_apart_by_their_vocabulary(spark, tmp_path):
+    import base64
+
+    from pipespark.llm import bpe
+
+    df = spark.createDataFrame([(1, "aabb")], "doc_id long, text string").coalesce(1)
+    for i in range(3):  # one worker sees vocabulary after vocabulary
+        ranks = [bytes([b]) for b in range(256)] + [(b"aa", b"bb", b"ab")[i]]
+        (tmp_path / f"{i}.tiktoken").write_text("".join(f"{base64.b64encode(t).decode()} {n}\n" for n, t in enumerate(ranks)))
+        assert bpe.encode(df, str(tmp_path / f"{i}.tiktoken"), r"\w+").first().ids == [[256, 98, 98], [97, 97, 256], [97, 256, 98]][i]

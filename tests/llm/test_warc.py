@@ -78,3 +78,35 @@ def test_truncated_empty_and_null_ids(spark, tmp_path):
     path = work.path("w")
     warc.write(df.limit(0), path, work)
     assert warc.read(spark, path, work).count() == 0
+
+
+def test_records_do_not_depend_on_how_files_are_split(spark):
+    work = Workspace(spark)
+    path = work.path("warc")
+    warc.write(spark.createDataFrame([(*r, "clash") for r in ODD], "page_id long, url string, html string, value string").repartition(3), path, work)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.leafNodeDefaultParallelism")
+    seen = []
+    for payloads in (False, True):
+        try:
+            for k, v in zip(names, ("128m", "4m", "4"), strict=True):
+                spark.conf.set(k, v)
+            found = warc.read(spark, path, work, payloads=payloads)
+            for k, v in zip(names, ("2k", "1k", "24"), strict=True):  # between planning and running
+                spark.conf.set(k, v)
+            seen.append(sorted((r.id, r.payload_bytes, r.payload_digest) for r in found.collect()))
+        finally:
+            for k in names:
+                spark.conf.unset(k)
+    assert seen[0] == seen[1] and len(seen[0]) == len(ODD)
+
+
+def test_bytes_that_are_not_text_and_blocks_that_are_not_http(spark, tmp_path):
+    rec = lambda n, body, kind="response": b"WARC/1.0\r\nWARC-Type: " + kind.encode() + f"\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nServer: \xe9\r\n\r\n"
+    blocks = {1: b"\xff\xfe\x00raw\r\n\r\nmore", 2: http + bytes(range(256)), 3: http + b"\xc3(" + FAKE.encode() + b"\xff", 4: b"HTTP/1.1 but no end", 5: b""}
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(b"".join(rec(n, b) for n, b in blocks.items()))
+    got = {r.id: bytes(r.payload) for r in warc.read(spark, f"file://{tmp_path}/w", Workspace(spark), payloads=True).collect()}
+    assert got == {f"<urn:page:{n}>": b.removeprefix(http) for n, b in blocks.items()}
+    slim = {r.id: r.payload_digest for r in warc.read(spark, f"file://{tmp_path}/w", Workspace(spark)).collect()}
+    assert slim == {k: b32(v) for k, v in got.items()}
