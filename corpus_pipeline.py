@@ -9,8 +9,9 @@ but the last return the columns of ``documents``.
     mixture     repeats or drops documents so that sources come near their target weights
     tokens      byte-level BPE ids, decoded again as a check
 
-Edge cases, beyond those that the operators state: rows with a null doc_id are never near copies of anything; of rows that
-repeat a doc_id, near_dedup keeps one; extra columns are handed on; an empty table stays empty.
+Edge cases, beyond those that the operators state: rows with a null doc_id are never near copies of anything, and quality,
+which rejects by doc_id, keeps them; of rows that repeat a doc_id, quality rejects all or none and near_dedup keeps one; extra
+columns are handed on, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pipespark.llm import bpe, langid, mixing, quality, queries, simhash
-from pipespark.llm.common import Workspace, id_crc, table
+from pipespark.llm.common import Workspace, id_crc, spare, table
+from pipespark.scratch import scope
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +30,14 @@ SURE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs, id_crc() % 5 != 0)
-    found = langid.identify(docs, model, pred="__lang", score="__sure")
-    return found.filter((F.col("__lang") != "und") & (F.col("__sure") >= SURE)).select(*docs.columns)
+    pred, sure = spare(docs, "pred"), spare(docs, "sure")
+    found = langid.identify(docs, model, pred=pred, score=sure)
+    return found.filter((F.col(pred) != "und") & (F.col(sure) >= SURE)).select(*docs.columns)
 
 
 def quality_draw(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
-    drawn = quality.resample(docs, table(spark, sf_dir, "labels"), work)
+    drawn = quality.resample(docs, table(spark, sf_dir, "labels"), work, evidence=quality.EVIDENCE)
     out = work.keep(drawn.filter(~F.col("selected") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "rejected")
     return simhash.near_some(docs, out, "doc_id", "left_anti")
 
@@ -53,11 +56,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # docs is a written table: the same at every read
-    copies = work.keep(mixing.mix(rows, work, key="__row").filter("copies > 0").select("__row", "copies"), "copies")
+    row, times = spare(docs, "row"), spare(docs, "times")
+    # Numbered once and written: a number made at each read would depend on how the read is dealt to tasks.
+    rows = work.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    copies = mixing.mix(rows, work, key=row, mark="doc_id").filter("copies > 0").select(row, F.col("copies").alias(times))
+    copies = work.keep(copies, "copies")
     small = copies.count() <= simhash.BROADCAST_ROWS
-    taken = rows.join(F.broadcast(copies) if small else copies, "__row")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = rows.join(F.broadcast(copies) if small else copies, row)
+    copy = spare(taken, "copy")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,5 +88,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = table(spark, sf_dir, "documents"), Workspace(spark)
     for name, stage in STAGES[:-1]:
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        with scope():
+            docs = work.keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
