@@ -6,8 +6,9 @@ keeps its maximum, and a softmax over the maxima gives the window's languages.
 weighted by their bytes.  A filter on one-hot bytes is a sum of table look-ups, one table per offset; for prediction
 the tables of two neighbouring offsets are merged into one of byte pairs, so a filter of width four costs two look-ups.
 
-Training uses at most TRAIN_DOCS labelled documents, dealt evenly over the languages by a hash of the id; everything
-else covers all rows.
+Training uses at most TRAIN_DOCS labelled documents, dealt evenly over the languages by a hash of the id; of each it sees
+one window for every WINDOW_EVERY bytes begun, TRAIN_WINDOWS at most, dealt evenly over the whole text and placed by the
+hash inside their parts.  Everything else covers all rows and whole texts.  Over MAX_LANGUAGES languages are an error.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is nothing to learn
 from.  Texts of any length are done whole, in chunks.  Ties go to the language that sorts first.  Rows with a null id or a null
@@ -33,6 +34,7 @@ FILTERS = 8
 
 #: The bound of the labelled sample, and of the number of languages.
 TRAIN_DOCS = 4000
+TRAIN_WINDOWS, WINDOW_EVERY = 4, 2048
 MAX_LANGUAGES = 1000
 
 #: Windows that are predicted at once; their activations stay in cache.
@@ -148,13 +150,16 @@ def learn(df: DataFrame, of_training: Column, key: str = "doc_id", text: str = "
     quota, unit = max(1, TRAIN_DOCS // len(languages)), 1_000_000
     take = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(unit, -(-unit * quota // r["count"])))])
     picked = rows.filter(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(unit)) < take[F.col("lang")])
-    size = F.octet_length(utf8("text"))
-    second = (F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(size - WINDOW, F.lit(1))) + 1).cast("int")
-    picked = picked.select("id", "lang", F.substring(utf8("text"), 1, WINDOW).alias("a"), F.substring(utf8("text"), second, F.lit(WINDOW)).alias("b"))
-    sample = sorted(picked.limit(2 * TRAIN_DOCS + MAX_LANGUAGES).collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["lang"], bytes(r["a"])))
+    picked = picked.limit(2 * TRAIN_DOCS + MAX_LANGUAGES).select("id", "lang", utf8("text").alias("raw"))
+    picked = picked.withColumn("size", F.octet_length("raw")).withColumn("n", F.least(F.greatest(F.ceil(F.col("size") / WINDOW_EVERY), F.lit(1)), F.lit(TRAIN_WINDOWS)))
+    picked = picked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    part = F.floor(F.col("size") / F.col("n"))
+    start = F.col("j") * part + F.pmod(F.xxhash64(F.lit("window"), "id", "j"), F.greatest(part - WINDOW + 1, F.lit(1))) + 1
+    windows = picked.select("id", "lang", F.substring("raw", start.cast("int"), F.lit(WINDOW)).alias("window"))
+    sample = sorted(windows.collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["lang"], bytes(r["window"])))  # bounded: TRAIN_WINDOWS of each picked text
     number = {x: i for i, x in enumerate(languages)}
-    x = np.stack([window_symbols(bytes(r[c])) for r in sample for c in ("a", "b")])
-    y = np.array([number[r["lang"]] for r in sample for _ in "ab"])
+    x = np.stack([window_symbols(bytes(r["window"])) for r in sample])
+    y = np.array([number[r["lang"]] for r in sample])
     return train(x, y, languages)
 
 
