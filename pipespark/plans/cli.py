@@ -9,10 +9,10 @@ import time
 from pathlib import Path
 
 from ..errors import PipelineError
-from .compiler import compile_plan, run_plan
+from .compiler import compile_plan, replays, run_plan
 from .config import EngineConfig
 from .estimate import estimate_work
-from .manifest import plan_hash
+from .manifest import RunManifest, plan_hash
 from .yaml_dsl import parse_yaml
 
 
@@ -29,6 +29,7 @@ def _parser() -> argparse.ArgumentParser:
         if name == "run":
             c.add_argument("--max-parallel", dest="max_parallel_tasks", type=int)
             c.add_argument("--manifest", type=Path, help="where to write the run's manifest")
+            c.add_argument("--replay", type=Path, help="a manifest; instead of running, say whether plan, inputs and output are as it recorded them")
             for f in dataclasses.fields(EngineConfig):
                 if f.name.startswith("spill_"):
                     c.add_argument("--" + f.name.replace("_", "-"), dest=f.name)
@@ -45,6 +46,10 @@ def main(argv: list[str] | None = None) -> int:
         names = {f.name for f in dataclasses.fields(EngineConfig)}
         config = EngineConfig.layered(parsed.config, {k: v for k, v in vars(args).items() if k in names})
         spark = config.session()
+        if args.command == "run" and args.replay:
+            same = replays(spark, RunManifest.from_json(args.replay.read_text()), parsed.plan)
+            print(" ".join(f"{k}: {'same' if v else 'changed'}" for k, v in same.items()))
+            return 0 if all(same.values()) else 1
         if args.command == "run":
             begun = time.time()
             manifest, _ = run_plan(spark, parsed.plan, args.compat)

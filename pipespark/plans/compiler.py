@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import operators as O  # noqa: E741
 from ..errors import ConfigError, PipelineError
-from ..sources import scan, sink
+from ..sources import Storage, scan, sink
 from . import nodes as N
-from .manifest import RunManifest, inputs_digest, started
+from .manifest import RunManifest, inputs_digest, same_plan, started
 
 Apply = Callable[[SparkSession, DataFrame, object, bool], DataFrame]
 
@@ -71,14 +71,26 @@ def run_plan(spark: SparkSession, plan: N.Plan, compat: bool = False) -> tuple[R
     """Runs the plan's sink, if it has one, and returns a manifest with the lazy frame."""
     begun = started(plan)
     df = compile_plan(spark, plan, compat)
-    last = plan.steps[-1]
+    inputs = inputs_digest(spark, sorted(sources_of(plan)))  # before a sink may replace them
+    last, written = plan.steps[-1], None
     if isinstance(last, N.Sink):
         options = {"single": last.single} | ({"codec": last.codec} if last.codec else {})
         try:
             sink(df, last.destination, last.format, **({} if last.destination == "stdout" else options))
         except PipelineError as e:
             raise e.within(f"step {len(plan.steps)} (Sink)")
-    return begun.finished(df, inputs_digest(spark, sorted(sources_of(plan)))), df
+        if last.destination != "stdout":
+            written = inputs_digest(spark, [last.destination])
+    return begun.finished(df, inputs, written), df
+
+
+def replays(spark: SparkSession, manifest: RunManifest, plan: N.Plan) -> dict[str, bool]:
+    """Whether a recorded run was of this plan, and whether its inputs and its output are as it left them."""
+    last = plan.steps[-1]
+    out = {"plan": same_plan(manifest, plan), "inputs": manifest.inputs_digest == inputs_digest(spark, sorted(sources_of(plan)))}
+    if isinstance(last, N.Sink) and last.destination != "stdout":
+        out["outputs"] = Storage(spark).exists(last.destination) and manifest.outputs_digest == inputs_digest(spark, [last.destination])
+    return out
 
 
 def sources_of(plan: N.Plan) -> set[str]:

@@ -43,6 +43,10 @@ class RunManifest:
     def to_json(self) -> str:
         return json.dumps(dataclasses.asdict(self), sort_keys=True)
 
+    @classmethod
+    def from_json(cls, text: str) -> RunManifest:
+        return cls(**json.loads(text))
+
 
 def started(plan: N.Plan) -> RunManifest:
     order = " ".join(type(s).__name__ for s in plan.steps)

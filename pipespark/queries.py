@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import operators as O  # noqa: E741
@@ -12,8 +13,9 @@ from . import sources
 from .functions.stats import collect_stats, profile
 from .operators import WindowFunction
 from .plans import Pipeline, compile_plan, parse_yaml
+from .plans.compiler import replays, run_plan
 from .plans.estimate import WorkHint, estimate_work
-from .plans.manifest import plan_hash
+from .plans.manifest import RunManifest
 from .scratch import Workspace
 from .streaming import append_stream, stream_frame
 
@@ -152,22 +154,19 @@ def agg_global(s, d):
     return _scan(d, "orders").aggregate([], "COUNT(*) AS n", "MIN(o_orderpriority)", "MAX(o_totalprice) AS top").to_df(s)
 
 
-# Joins: even documents against labels has unmatched rows on both sides
+# Joins of whole tables: keys moved by 100, so that both sides have rows without a partner
 
-_DOCS = "(SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = 0)"
-
-
-def _docs(s, d):
-    return _table(s, d, "documents").filter("doc_id % 2 = 0").select("doc_id", "lang", "n_chars")
+_LINES, _ORDERS = "(SELECT l_orderkey + 100 AS okey, l_linenumber, l_quantity FROM lineitem)", "(SELECT o_orderkey AS okey, o_totalprice FROM orders)"
 
 
 def _join(how: str, strategy: str | None) -> Query:
-    return lambda s, d: O.join(_docs(s, d), _table(s, d, "labels"), ["doc_id"], how, strategy)
+    lines = lambda s, d: _table(s, d, "lineitem").select((F.col("l_orderkey") + 100).alias("okey"), "l_linenumber", "l_quantity")
+    return lambda s, d: O.join(lines(s, d), _table(s, d, "orders").select(F.col("o_orderkey").alias("okey"), "o_totalprice"), ["okey"], how, strategy)
 
 
 for _how in ("inner", "left", "right", "full"):
     for _strategy, _prefix in ((None, "join"), ("hash", "join_hash"), ("merge", "join_merge")):
-        _sql = f"SELECT a.doc_id, a.lang, a.n_chars, b.doc_id AS doc_id_right, b.quality, b.toxic FROM {_DOCS} a {_how} JOIN labels b ON a.doc_id = b.doc_id"
+        _sql = f"SELECT a.okey, a.l_linenumber, a.l_quantity, b.okey AS okey_right, b.o_totalprice FROM {_LINES} a {_how} JOIN {_ORDERS} b ON a.okey = b.okey"
         _query(_sql, f"{_prefix}_{_how}")(_join(_how, _strategy))
 
 
@@ -212,9 +211,14 @@ def window_running_sum(s, d):
 @_query(f"SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn, CAST(sum(coalesce(u, 0)) OVER (PARTITION BY kind ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS us FROM {_WITH_NULLS}")
 def window_nulls(s, d):
     kinds = O.window(_with_nulls(s, d), ["kind"], ["event_id"], [WindowFunction("sum", "us", "u")]).select("event_id", "us")
-    # Row numbers over all rows: a sort by ranges and a count per partition, not a window of one task.
-    numbered = O.number_rows(O.sort(kinds, ["event_id"]), "rn")
-    return numbered.select("event_id", (F.col("rn") + 1).alias("rn"), "us")
+    return O.window(kinds, [], ["event_id"], [WindowFunction("row_number", "rn")]).select("event_id", "rn", "us")
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_quantity, count(*) OVER w AS rn, sum(l_quantity) OVER w AS running FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)")
+def window_without_partitions(s, d):
+    order = ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice"]
+    fs = [WindowFunction("row_number", "rn"), WindowFunction("sum", "running", "l_quantity")]
+    return O.window(_table(s, d, "lineitem").select(*order), [], order, fs).select("l_orderkey", "l_linenumber", "l_quantity", "rn", "running")
 
 
 @_query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderpriority, '3-MEDIUM') NULLS FIRST, o_orderkey) - 1 AS place FROM orders")
@@ -264,6 +268,16 @@ def concat_columns(s, d):
     return O.concat_columns(left, right)
 
 
+@_query("SELECT count(*) AS n_rows, 0 AS misplaced, sum(l_quantity) AS quantity FROM lineitem")
+def sort_local(s, d):
+    """That each partition is in order after the helper has sorted it, and no row is lost."""
+    rows = O.sort_by_columns(_table(s, d, "lineitem").select("l_quantity", "l_orderkey").repartition(4), ["l_quantity DESC", "l_orderkey"])
+    rows = Workspace(s).keep(rows.withColumn("at", F.monotonically_increasing_id()), "sorted").withColumn("p", F.shiftright("at", 33))
+    after = W.partitionBy("p").orderBy("at")
+    wrong = (F.lag("l_quantity").over(after) < F.col("l_quantity")) | ((F.lag("l_quantity").over(after) == F.col("l_quantity")) & (F.lag("l_orderkey").over(after) > F.col("l_orderkey")))
+    return rows.select("l_quantity", wrong.alias("wrong")).agg(F.count("*").alias("n_rows"), F.count_if("wrong").cast("int").alias("misplaced"), F.sum("l_quantity").alias("quantity"))
+
+
 def _stats_sql(table: str, columns: list[str]) -> str:
     one = "SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, count(*) AS total_count FROM {t}"
     return " UNION ALL ".join(one.format(c=c, t=table) for c in columns)
@@ -283,12 +297,19 @@ def work_estimate(s, d):
     return s.createDataFrame([(work.total_rows, work.output_rows)], "source_rows bigint, estimated bigint")
 
 
-@_query("SELECT true AS same, false AS other")
-def manifest_hashes(s, d):
-    one = _scan(d, "orders").filter("o_totalprice > 5").plan
-    two = _scan(d, "orders").filter("o_totalprice > 5").plan
-    three = _scan(d, "orders").filter("o_totalprice > 6").plan
-    return s.createDataFrame([(plan_hash(one) == plan_hash(two), plan_hash(one) == plan_hash(three))], "same boolean, other boolean")
+@_query("SELECT count(*) AS n_rows, sum(o_totalprice) AS price, true AS same, false AS other, true AS kept, false AS rewritten FROM orders WHERE o_totalprice > 5000")
+def manifest_replay(s, d):
+    """A run with a sink, read back, with what its manifest says of the same plan, of another, and of the output before and after it is written anew."""
+    path = Workspace(s).path("orders.parquet")
+    plan = lambda least: _scan(d, "orders").filter(f"o_totalprice > {least}").sink(path, "parquet").plan
+    manifest, _ = run_plan(s, plan(5000))
+    manifest = RunManifest.from_json(manifest.to_json())
+    one, two = replays(s, manifest, plan(5000)), replays(s, manifest, plan(6000))
+    sources.write_parquet(_table(s, path.rsplit("/", 1)[0], path.rsplit("/", 1)[1].removesuffix(".parquet")), path)
+    three = replays(s, manifest, plan(5000))
+    out = sources.scan(s, path).agg(F.count("*").alias("n_rows"), F.sum("o_totalprice").alias("price"))
+    said = {"same": one["plan"], "other": two["plan"], "kept": one["inputs"] and one["outputs"], "rewritten": three["outputs"]}
+    return out.select("*", *[F.lit(v).alias(k) for k, v in said.items()])
 
 
 # Round trips, YAML, streams
@@ -311,6 +332,34 @@ def jsonl_roundtrip(s, d):
     return sources.scan(s, path, _PART)
 
 
+@_query("SELECT doc_id, coalesce(text, '') AS text, lang FROM documents")
+def csv_roundtrip_text(s, d):
+    """Texts with quotes, commas and line breaks."""
+    path = Workspace(s).path("documents.csv")
+    sources.write_csv(_table(s, d, "documents").select("lang", "text", "doc_id"), path)
+    return sources.read_csv(s, path, [("doc_id", "Int64"), ("text", "Utf8"), ("lang", "Utf8")])
+
+
+@_query(_PART_SQL)
+def csv_headerless(s, d):
+    path = Workspace(s).path("part.csv")
+    _table(s, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", "p_brand").write.csv(path, header=False)
+    return sources.read_csv(s, path, _PART, header=False)
+
+
+@_query(
+    "SELECT nullif(event_type, 'view') AS a_kind, event_id AS b_id, CASE WHEN user_id % 3 <> 0 THEN user_id END AS c_user, value AS d_value,"
+    " '{\"k\":' || event_type || ',\"n\":' || event_id || '}' AS e_both FROM (SELECT * REPLACE ('\"' || event_type || '\"' AS event_type), event_type AS bare FROM events) t".replace("nullif(event_type, 'view')", "nullif(bare, 'view')")
+)
+def jsonl_inferred(s, d):
+    """Without a schema: columns in order of their names, whole numbers as bigint, nested values as text, missing keys null."""
+    path = Workspace(s).path("events.jsonl")
+    both = F.struct(F.col("event_type").alias("k"), F.col("event_id").alias("n"))
+    rows = _table(s, d, "events").select(both.alias("e_both"), F.col("value").alias("d_value"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("c_user"), F.col("event_id").alias("b_id"), F.expr("nullif(event_type, 'view')").alias("a_kind"))
+    rows.write.option("ignoreNullFields", True).json(path)
+    return sources.scan(s, path)
+
+
 @_query(_PART_SQL)
 def parquet_roundtrip(s, d):
     path = Workspace(s).path("part.parquet")

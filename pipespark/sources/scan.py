@@ -46,17 +46,20 @@ def _strict(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
-def _raw_csv(spark: SparkSession, path: str, header: bool, delimiter: str) -> DataFrame:
-    options = {"header": header, "inferSchema": False, "mode": "PERMISSIVE", "sep": delimiter, "escape": '"', "quote": '"', "multiLine": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+def _raw_csv(spark: SparkSession, path: str, header: bool, delimiter: str, multi_line: bool) -> DataFrame:
+    options = {"header": header, "inferSchema": False, "mode": "PERMISSIVE", "sep": delimiter, "escape": '"', "quote": '"', "multiLine": multi_line, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     return spark.read.options(**options).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: Fields | None = None, header: bool = True, delimiter: str = ",", need_rows: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: Fields | None = None, header: bool = True, delimiter: str = ",", need_rows: bool = False, multi_line: bool = True) -> DataFrame:
     """With a header, columns are matched by name (after trimming the header), in the schema's order; others are left out
     and a missing one is an error.  Cells that don't read as their type are null; text cells are never null, short rows give
     empty text.  Without a schema all columns are text.  Without a header the schema names the columns by place, and short
-    rows give nulls.  ``need_rows`` makes an empty file an error, for the price of looking into it."""
-    raw = _raw_csv(spark, path, header, delimiter)
+    rows give nulls.  ``need_rows`` makes an empty file an error, for the price of looking into it.
+
+    A quoted cell may hold line breaks, so a file is read by one task; without ``multi_line`` large files are read in splits,
+    and no cell may hold one."""
+    raw = _raw_csv(spark, path, header, delimiter, multi_line)
     if need_rows and not raw.limit(1).count():
         raise SourceError(f"no data in CSV file '{path}'")
     if not header:

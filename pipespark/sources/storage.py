@@ -63,10 +63,24 @@ class Storage:
         fs, p = self._at(folder)
         return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def files(self, path: str) -> list:
+        """The status of each file that a path stands for: a file, a folder's files at any depth (but hidden ones), or those that a pattern matches."""
+        fs, p = self._at(path)
+        found, out = list(fs.globStatus(p) or ()), []
+        if not found:
+            raise SourceError(f"'{path}' does not exist")
+        while found:
+            s = found.pop()
+            if s.isDirectory():
+                found += [x for x in fs.listStatus(s.getPath()) if x.getPath().getName()[0] not in "._"]
+            else:
+                out.append(s)
+        return out
+
     def size(self, path: str) -> int:
         return self._status(path).getLen()
 
     def etag(self, path: str) -> str:
-        """Changes when the file's place, length or time of change does; the contents aren't read."""
-        s = self._status(path)
-        return hashlib.sha256(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}".encode()).hexdigest()
+        """Changes when the place, length or time of change of a file that the path stands for does; the contents aren't read."""
+        marks = sorted(f"{s.getPath().toString()} {s.getLen()} {s.getModificationTime()}" for s in self.files(path))
+        return hashlib.sha256("\n".join(marks).encode()).hexdigest()

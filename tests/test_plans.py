@@ -2,17 +2,17 @@ import dataclasses
 import json
 
 import pytest
-from pipespark.errors import ConfigError, PipelineError, SchemaError
+from pipespark.errors import ConfigError, PipelineError, SchemaError, SourceError
 from pipespark.functions import expr as E
 from pipespark.functions.stats import ColumnStats
-from pipespark.operators import WindowFunction
+from pipespark.operators import WindowFunction, window
 from pipespark.plans import Pipeline, compile_plan, parse_yaml, run_plan
 from pipespark.plans import nodes as N
 from pipespark.plans.cli import main
-from pipespark.plans.compiler import STEPS, register_step
+from pipespark.plans.compiler import STEPS, register_step, replays
 from pipespark.plans.config import EngineConfig
 from pipespark.plans.estimate import WorkHint, estimate_work, group_rows, join_rows, selectivity
-from pipespark.plans.manifest import content_digest, plan_hash, same_plan
+from pipespark.plans.manifest import RunManifest, content_digest, inputs_digest, plan_hash, same_plan
 from pipespark.streaming import append_stream, stream_frame
 from pyspark.sql import functions as F
 
@@ -196,3 +196,36 @@ def test_streams(spark, tmp_path):
     for bad in (flow.sort("id"), flow.aggregate(["id"], "count"), Pipeline.scan(f"file://{src}")):
         with pytest.raises(ConfigError):
             stream_frame(spark, bad.plan)
+
+
+def test_manifests_of_patterns_and_folders(spark, tmp_path):
+    """Inputs are digested before the sink runs, by the files that a pattern or a folder stands for."""
+    for i in range(3):
+        (tmp_path / f"in{i}.csv").write_text(f"id\n{i}\n")
+    out = f"file://{tmp_path}/out.parquet"
+    plan = Pipeline.scan(f"file://{tmp_path}/*.csv", [("id", "Int64")]).filter("id > 0").sink(out, "parquet").plan
+    manifest, df = run_plan(spark, plan)
+    assert spark.read.parquet(out).count() == 2 and manifest.inputs_digest and manifest.outputs_digest
+    again = RunManifest.from_json(manifest.to_json())
+    assert replays(spark, again, plan) == {"plan": True, "inputs": True, "outputs": True}
+    (tmp_path / "in3.csv").write_text("id\n3\n")
+    assert replays(spark, again, plan) == {"plan": True, "inputs": False, "outputs": True}
+    before = inputs_digest(spark, [out])
+    spark.range(1).write.mode("append").parquet(out)
+    assert inputs_digest(spark, [out]) != before and not replays(spark, again, plan)["outputs"]
+    with pytest.raises(SourceError):
+        inputs_digest(spark, [f"file://{tmp_path}/none*.csv"])
+
+
+def test_windows_without_partitions(spark):
+    fs = [WindowFunction("row_number", "rn"), WindowFunction("sum", "total", "v"), WindowFunction("sum", "own", "v", "current_row", "current_row")]
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k", "if(id % 5 = 0, null, id) AS v").repartition(6)
+    want, total = {}, 0.0
+    got = window(df, [], ["k", "id"], fs)
+    for n, r in enumerate(sorted(df.collect(), key=lambda r: (r.k, r.id)), 1):
+        total += r.v or 0
+        want[r.id] = (n, total, float(r.v or 0))
+    assert {r.id: (r.rn, r.total, r.own) for r in got.collect()} == want and got.columns == ["id", "k", "v", "rn", "total", "own"]
+    plain = window(spark.range(20).coalesce(1), [], [], [WindowFunction("row_number", "rn")])
+    assert {r.id: r.rn for r in plain.collect()} == {i: i + 1 for i in range(20)}
+    assert window(df.limit(0), [], ["id"], fs).count() == 0

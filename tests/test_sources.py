@@ -138,3 +138,12 @@ def test_storage(spark, tmp_path):
     for bad in (lambda: store.size(path), lambda: store.exists("nosuch://x/y")):
         with pytest.raises(SourceError):
             bad()
+
+
+def test_csv_cells_may_hold_line_breaks(spark, tmp_path):
+    rows_ = [(1, 'two\nlines, "quoted"'), (2, "cr\r\nlf\n\n"), (3, ""), (4, "plain"), (5, '"'), (6, "\n")]
+    path = f"file://{tmp_path}/breaks.csv"
+    sources.write_csv(spark.createDataFrame(rows_, "id long, t string"), path)
+    assert sorted(rows(sources.read_csv(spark, path, [("id", "Int64"), ("t", "Utf8")]))) == rows_
+    flat = put(tmp_path, "flat.csv", "id,t\n1,a\n2,b\n")
+    assert sources.read_csv(spark, flat, [("id", "Int64")], multi_line=False).count() == 2
