@@ -11,10 +11,6 @@ Rows are first reduced to distinct fingerprints, so a group of copies of any siz
 members reach one task in blocks of bounded size (a larger bucket becomes a grid of block pairs), which returns
 the bucket's spanning forest of links, never its pairs.
 
-``near_duplicates`` links by fingerprints alone.  ``similar_groups`` finds candidates in the same way, by several
-fingerprints of the texts' distinct words, which differ in few bits for texts that share most passages, and then by an
-exact prefix filter on word shingles; it compares the candidates' sets of word shingles exactly.
-
 Edge cases: a null, empty or wordless text has fingerprint zero and links like any other.  A text with fewer
 words than a shingle is one shingle.  Ties in the vote (exactly half) give 0.  A null id takes part, but can
 only name a component if all its rows have null ids.  Other columns play no part.
@@ -37,6 +33,9 @@ from .components import components, roots
 #: Rows of a bucket that a task compares at once (twice this, for a pair of blocks).
 BLOCK = 2048
 
+#: Of so many fingerprints, one is looked at to tell which buckets are large; and the large buckets that are sent to every task.
+SAMPLE, BROADCAST_BUCKETS = 16, 1_000_000
+
 #: Shingle hashes whose bits are counted at once.
 _VOTES = 1 << 14
 
@@ -116,12 +115,11 @@ def _linked(ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def _forest_of_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Reads rows (bucket, id, fp) sorted by bucket; yields links (a, b)."""
-    names = ("t", "k", "g")
+    """Reads rows (k, id, fp) sorted by k; yields links (a, b)."""
     held: list[np.ndarray] = []
 
     def links(block: list[np.ndarray], new: np.ndarray) -> pa.RecordBatch:
-        ids, fps = block[3], block[4].view(np.uint64)
+        ids, fps = block[1], block[2].view(np.uint64)
         ends = np.append(np.flatnonzero(new[1:]) + 1, len(ids))
         starts = np.append(0, ends[:-1])
         a, b = [], []
@@ -138,11 +136,10 @@ def _forest_of_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
     for x in regrouped(batches, 20_000):
         if not x.num_rows:
             continue
-        now = [x.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        now = [x.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if held:
             now = [np.concatenate([p, q]) for p, q in zip(held, now, strict=True)]
-        new = np.ones(len(now[0]), bool)
-        new[1:] = functools.reduce(np.logical_or, (c[1:] != c[:-1] for c in now[: len(names)]))
+        new = np.append(True, now[0][1:] != now[0][:-1])
         last = int(np.flatnonzero(new)[-1])  # its bucket may go on in the next batch
         held = [c[last:] for c in now]
         if last:
@@ -156,25 +153,26 @@ def near_links(points: DataFrame, work: Workspace, radius: int = 4, block: int =
 
     points: columns id, fp of bigint, with distinct fp; with a column p, there is a set of tables for each p, and fp is
     distinct in each.  The forests' union has the same components as all links.
+
+    A bucket is known by a hash of its table and its bits, so that a row is three numbers; buckets that share a hash are only
+    compared in vain.  Which buckets are large is told from every SAMPLE-th fingerprint; the result doesn't depend on it.
     """
     of = masks(radius)
     which = F.col("p") * len(of) if "p" in points.columns else F.lit(0)
-    tables = F.array(*[F.struct((which + i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(of)])
-    rows = points.select("id", "fp", F.explode(tables).alias("x")).select("x.t", "x.k", "id", "fp")
-    large = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    large = work.keep(large, "large-buckets")
-    alone = rows.withColumn("g", F.lit(0))
-    if large.limit(1).count():
+    tables = F.array(*[F.xxhash64(which + i, F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(of)])
+    deal = lambda df: df.select(F.explode(tables).alias("k"), "id", "fp")
+    rows = deal(points)
+    some = deal(points.filter(F.pmod(F.xxhash64(F.lit("sample"), "fp"), F.lit(SAMPLE)) == 0))
+    large = work.keep(some.groupBy("k").agg((F.count("*") * SAMPLE).alias("n")).filter(F.col("n") > block / 2), "large-buckets")
+    if many := large.count():
         # Block i of a large bucket meets every block j: its rows go to the pairs (min(i, j), max(i, j)).
-        blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        grid = rows.join(large.withColumn("blocks", blocks), ["t", "k"]).withColumn("own", own)
-        grid = grid.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pair = F.least("own", "j") * F.col("blocks") + F.greatest("own", "j")
-        alone = alone.join(large, ["t", "k"], "left_anti").select("t", "k", "g", "id", "fp").union(grid.select("t", "k", pair.cast("int").alias("g"), "id", "fp"))
-    rows = alone.select("t", "k", "g", "id", "fp")
+        rows = rows.join(F.broadcast(large) if many <= BROADCAST_BUCKETS else large, "k", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / F.lit(block)), F.lit(0)).cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.greatest("blocks", F.lit(1))).cast("int"))
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+        pair = F.xxhash64("k", F.least("own", "j"), F.greatest("own", "j"))
+        rows = rows.select(F.when(F.col("blocks") > 1, pair).otherwise(F.col("k")).alias("k"), "id", "fp")
     parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "t", "k", "g").sortWithinPartitions("t", "k", "g")
+    dealt = rows.repartition(parts, "k").sortWithinPartitions("k")
     return map_batches(dealt, functools.partial(_forest_of_buckets, radius=radius), "a bigint, b bigint")
 
 
@@ -186,278 +184,3 @@ def near_duplicates(df: DataFrame, work: Workspace, key: str = "doc_id", text: s
     joined = components(edges, work)
     classes = points.join(joined, points["id"] == joined["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marks.join(classes, "fp").select(key, "fp", "component_id")
-
-
-#: Texts of a group of candidates that a task compares at once (twice this, for a pair of blocks).
-SET_BLOCK = 256
-
-#: Bytes of shingle hashes of such a block; a text's own are 8 bytes a word.
-SET_BYTES = 2 << 20
-
-#: Ids that are sent to every task; with more of them, the texts are shuffled to meet them.
-BROADCAST_ROWS = 2_000_000
-
-
-def _remixed(h: np.ndarray, n: int) -> np.ndarray:
-    """The n-th of a family of hashes of a hash (splitmix64's steps)."""
-    h = h + np.uint64(0x9E3779B97F4A7C15 * n % (1 << 64))
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def word_prints(df: DataFrame, prints: int, key: str, text: str) -> DataFrame:
-    """(id, h, g, fps): 128 bits of hash of the text's words in order, and fingerprints of its distinct words, each under a hash of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            wide, fps = [], []
-            for _, _, data, at in chunks(b.column(1)):
-                raw, at = data.tobytes(), at.tolist()
-                for k in range(len(at) - 1):
-                    w = words(raw[at[k] : at[k + 1]])
-                    wide.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                    own = set(w)
-                    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
-                    fps.append([vote(_remixed(h, n)) for n in range(prints)])
-            halves = np.frombuffer(b"".join(wide), np.int64).reshape(-1, 2)
-            flat = np.array(fps, np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * prints), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists], names=["id", "h", "g", "fps"])
-
-    return map_batches(df.select(F.col(key).cast("bigint"), utf8(text)), run, "id bigint, h bigint, g bigint, fps array<bigint>")
-
-
-def shingle_sets(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(id, bag): the sorted distinct shingle hashes of a text, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, at in chunks(b.column(1)):
-                raw, at = data.tobytes(), at.tolist()
-                bags = [np.unique(shingle_hashes(raw[at[k] : at[k + 1]], size)).tobytes() for k in range(j - i)]
-                yield batch(id=b.column(0).slice(i, j - i), bag=pa.array(bags, pa.binary()))
-
-    return map_batches(df.select(F.col(key).cast("bigint"), utf8(text)), run, "id bigint, bag binary")
-
-
-def alike(bags: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of sets whose Jaccard similarity is at least ``similarity``; two empty sets are alike.
-
-    Common elements are counted as products of 0/1 matrices, over the elements that two sets or more have.
-    """
-    n = len(bags)
-    size = np.array([len(x) for x in bags])
-    item, at = np.unique(np.concatenate(bags), return_inverse=True) if size.sum() else (np.zeros(0), np.zeros(0, int))
-    row = np.repeat(np.arange(n), size)
-    shared = np.bincount(at, minlength=len(item)) > 1
-    use = shared[at]
-    column, row = (np.cumsum(shared) - 1)[at[use]], row[use]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    common = np.zeros((n, n), np.float32)
-    width = 4096
-    for c in range(0, int(shared.sum()), width):
-        s, e = np.searchsorted(column, (c, c + width))
-        m = np.zeros((n, width), np.float32)
-        m[row[s:e], column[s:e] - c] = 1
-        common += m @ m.T
-    either = size[:, None] + size[None, :] - common
-    return np.nonzero(np.triu(np.where(either > 0, common, 1) >= similarity * np.maximum(either, 1), 1))
-
-
-def _alike_in_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Reads rows (c, g, id, bag) sorted by (c, g); yields links (a, b) that make each group's components."""
-    now, ids, bags = None, [], []
-
-    def links() -> pa.RecordBatch:
-        a, b = alike(bags, similarity)
-        root = roots(len(ids), a, b)
-        at, own = np.array(ids), np.flatnonzero(root != np.arange(len(ids)))
-        return batch(a=at[own], b=at[root[own]])
-
-    for x in batches:
-        for c, g, i, bag in zip(*[x.column(k).to_pylist() for k in range(4)], strict=True):
-            if (c, g) != now:
-                if len(ids) > 1:
-                    yield links()
-                now, ids, bags = (c, g), [], []
-            ids.append(i)
-            bags.append(np.frombuffer(bag, np.uint64))
-    if len(ids) > 1:
-        yield links()
-
-
-# Exact candidates
-
-
-#: Texts whose prefixes hold a shingle before it is moved to the end of the order, and the most shingles so moved.
-COMMON, MOST_COMMON = 64, 1_000_000
-
-#: Texts of a shingle that a task pairs at once (twice this, for a pair of blocks).
-PREFIX_BLOCK = 1024
-
-
-def _low(h: np.ndarray) -> np.ndarray:
-    """The 32 bits of a hash that name it where shingles are counted; two shingles of one name only share their place in the order."""
-    return (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def prefix(bag: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 of a sorted set of n hashes, those whose name is among ``common`` (sorted) ordered last.
-
-    Two sets of at least this similarity share an element of their prefixes, whatever the order, if it is one for all sets.
-    """
-    if len(common) and len(bag):
-        at = np.minimum(np.searchsorted(common, _low(bag)), len(common) - 1)
-        bag = bag[np.argsort(common[at] == _low(bag), kind="stable")]
-    return bag[: len(bag) - int(np.ceil(similarity * len(bag) - 1e-6)) + 1]
-
-
-def prefix_pairs(texts: DataFrame, work: Workspace, size: int, similarity: float, common: int = COMMON, block: int = PREFIX_BLOCK) -> DataFrame:
-    """(a, b), a < b: every pair of texts of different components that can be similar enough; few others.
-
-    texts: columns id, component of bigint, text of binary.  Shingles that many prefixes hold are moved to the end of the order,
-    so that passages that many texts quote don't pair them.  Texts of one component are tied already and aren't paired.
-    """
-    spark = texts.sparkSession
-
-    def rows(moved: np.ndarray, full: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(moved)  # bounded by MOST_COMMON
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i, j, data, at in chunks(b.column(2)):
-                    raw, at = data.tobytes(), at.tolist()
-                    bags = [np.unique(shingle_hashes(raw[at[k] : at[k + 1]], size)) for k in range(j - i)]
-                    heads = [prefix(x, similarity, shared.value) for x in bags]
-                    head = np.concatenate(heads)
-                    if not full:
-                        yield batch(name=_low(head))
-                        continue
-                    many = np.array([len(x) for x in heads])
-                    own = lambda c, m=many, b=b, i=i, j=j: np.repeat(b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False), m)
-                    yield batch(s=head.view(np.int64), id=own(0), c=own(1), n=np.repeat(np.array([len(x) for x in bags], np.int32), many))
-
-        return map_batches(texts, run, "s bigint, id bigint, c bigint, n int" if full else "name bigint")
-
-    def above(moved: np.ndarray, least: int) -> DataFrame:
-        return rows(moved, False).groupBy("name").count().filter(F.col("count") > least)
-
-    often = work.keep(above(np.zeros(0, np.int64), min(common, block)), "common")
-    moved = np.sort(often.orderBy(F.desc("count"), "name").limit(MOST_COMMON).select("name").toArrow().column(0).to_numpy())
-    every = rows(moved, True).withColumn("g", F.lit(0))
-    if len(moved):  # else no shingle is in more than a block of texts
-        large = work.keep(above(moved, block), "large-shingles")
-        if large.limit(1).count():
-            blocks = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block)).cast("int")
-            every = every.withColumn("name", F.col("s").bitwiseAND(F.lit(0xFFFFFFFF))).join(large, "name", "left").withColumn("blocks", blocks)
-            every = every.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            every = every.withColumn("g", (F.least("own", "j") * F.col("blocks") + F.greatest("own", "j")).cast("int"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = every.select("s", "g", "id", "c", "n").repartition(parts, "s", "g").sortWithinPartitions("s", "g")
-    met = map_batches(dealt, functools.partial(_met, similarity=similarity), "s bigint, a bigint, b bigint, na int, nb int")
-    # Written first, so that no task runs two Python workers.  A pair of one block of a large shingle meets in several grid cells.
-    met = work.keep(met, "met").distinct() if len(moved) else work.keep(met, "met")
-    # A prefix element of the set whose prefix ends first is in the other's prefix or not in the other at all.
-    rest = lambda n: F.ceil(F.col(n) * F.lit(similarity) - F.lit(1e-6)) - 1
-    both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).filter(F.col("k") + F.greatest(rest("na"), rest("nb")) >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
-    return both.select("a", "b").distinct()
-
-
-def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Reads rows (s, g, id, c, n) sorted by (s, g); yields the pairs of each group that aren't of one component, if their sizes allow the similarity."""
-    held: list[np.ndarray] = []
-
-    def pairs(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        s, g, ids, c, n = x
-        new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])))
-        ends = np.append(new[1:], len(s))
-        mixed = np.minimum.reduceat(c, new) != np.maximum.reduceat(c, new)
-        end = np.repeat(ends, ends - new)
-        live = np.flatnonzero(np.repeat(mixed, ends - new))
-        lag = 1
-        while True:
-            live = live[live + lag < end[live]]
-            if not len(live):
-                return
-            i, j = live, live + lag
-            ok = (c[i] != c[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
-            i, j = i[ok], j[ok]
-            if len(i):
-                turn = ids[i] > ids[j]
-                i, j = np.where(turn, j, i), np.where(turn, i, j)
-                yield batch(s=s[i], a=ids[i], b=ids[j], na=n[i], nb=n[j])
-            lag += 1
-
-    for x in regrouped(batches, 100_000):
-        if not x.num_rows:
-            continue
-        now = [x.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-        if held:
-            now = [np.concatenate([p, q]) for p, q in zip(held, now, strict=True)]
-        new = np.flatnonzero(np.append(True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])))
-        last = int(new[-1])  # its group may go on in the next batch
-        held = [c[last:] for c in now]
-        if last:
-            yield from pairs([c[:last] for c in now])
-    if held:
-        yield from pairs(held)
-
-
-def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Reads rows (a, b, x, y) of pairs and their bags; yields the pairs that are similar."""
-    for t in batches:
-        near = []
-        for x, y in zip(t.column(2), t.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            near.append(common >= similarity * max(1, len(x) + len(y) - common))
-        keep = np.flatnonzero(near)
-        yield t.select(["a", "b"]).take(pa.array(keep))
-
-
-def near_some(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """df's rows whose key is (left_semi) or isn't (left_anti) among ids, a written table with a column of that name; few ids are sent to every task."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)
-
-
-def similar_groups(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 4, prints: int = 5, block: int = SET_BLOCK) -> DataFrame:
-    """(key, component_id) of the rows whose key isn't null: texts tied by links of at least ``similarity`` share the smallest key reachable.
-
-    Similarity is Jaccard's of the sets of ``size``-word shingles.  Candidates by fingerprints come first: texts tied by a fingerprint
-    of their distinct words within the radius; all pairs inside such a group are compared, in blocks.  They tie large groups of near
-    copies cheaply, but miss most pairs that differ in one long passage.  Then a prefix filter on shingles finds every other
-    pair between the components so far, and each is compared; no pair is missed.
-    """
-    marks = work.keep(word_prints(df.filter(F.col(key).isNotNull()), prints, key, text), "prints")
-    points = work.keep(marks.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("fps").alias("fps")), "distinct")
-    each = points.select("id", F.posexplode("fps").alias("p", "fp"))
-    # Different texts of one fingerprint are tied to its first; the others don't need to be looked up.
-    firsts = work.keep(each.groupBy("p", "fp").agg(F.min("id").alias("id")), "firsts")
-    same = each.join(firsts.withColumnRenamed("id", "first"), ["p", "fp"]).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    near = near_links(firsts, work, radius)
-    maybe = work.keep(components(near.union(same), work), "candidates")
-    bags = shingle_sets(near_some(df, maybe.select(F.col("node").alias(key)), key).select(key, text), size, key, text)
-    # Several rows may carry one key; the first text by bytes stands for it.
-    bags = work.keep(bags.groupBy("id").agg(F.min("bag").alias("bag")), "bags")
-    held = bags.select("id", F.octet_length("bag").alias("size")).join(maybe, F.col("id") == F.col("node")).groupBy("component")
-    groups = held.agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / SET_BYTES)).cast("int").alias("blocks"))
-    placed = bags.join(maybe, bags["id"] == maybe["node"]).join(groups, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.least("own", "j") * F.col("blocks") + F.greatest("own", "j")
-    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.select(F.col("component").alias("c"), pair.alias("g"), "id", "bag").repartition(parts, "c", "g").sortWithinPartitions("c", "g")
-    edges = work.keep(map_batches(dealt, functools.partial(_alike_in_groups, similarity=similarity), "a bigint, b bigint"), "near")
-    tied = work.keep(components(edges, work), "tied")
-    firm = work.keep(points.select("id").distinct().join(tied, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component")), "firm")
-    texts = near_some(df.select(F.col(key).cast("bigint").alias("id"), utf8(text).alias("bytes")), firm, "id", "inner").select("id", "component", "bytes")
-    pairs = work.keep(prefix_pairs(texts, work, size, similarity), "pairs")
-    ends = work.keep(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct(), "ends")
-    bags = shingle_sets(near_some(df, ends, key).select(key, text), size, key, text)
-    bags = work.keep(bags.groupBy("id").agg(F.min("bag").alias("bag")), "pair-bags")
-    held = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
-    more = work.keep(map_batches(held.select("a", "b", "x", "y"), functools.partial(_similar, similarity=similarity), "a bigint, b bigint"), "more")
-    tied = components(edges.union(more), work)
-    classes = points.join(tied, points["id"] == tied["node"], "left").select("h", "g", F.coalesce("component", "id").alias("component_id"))
-    return marks.join(classes, ["h", "g"]).select(F.col("id").alias(key), "component_id")
