@@ -18,9 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pipespark.llm import bpe, langid, mixing, quality, queries, simhash
+from pipespark.llm import bpe, langid, mixing, quality, queries, similar
 from pipespark.llm.common import Workspace, id_crc, spare, table
 from pipespark.scratch import scope
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,29 +40,33 @@ def quality_draw(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     work = Workspace(spark)
     drawn = quality.resample(docs, table(spark, sf_dir, "labels"), work, evidence=quality.EVIDENCE)
     out = work.keep(drawn.filter(~F.col("selected") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "rejected")
-    return simhash.near_some(docs, out, "doc_id", "left_anti")
+    return similar.near_some(docs, out, "doc_id", "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
-    groups = work.keep(simhash.similar_groups(docs, work), "groups")
+    groups = work.keep(similar.similar_groups(docs, work), "groups")
     copies = work.keep(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    left = simhash.near_some(docs, copies, "doc_id", "left_anti")
+    left = similar.near_some(docs, copies, "doc_id", "left_anti")
     repeated = work.keep(groups.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if not repeated.limit(1).count():
         return left
-    once = simhash.near_some(left, repeated, "doc_id", "left_anti")
-    return once.unionByName(simhash.near_some(left, repeated, "doc_id").dropDuplicates(["doc_id"]))
+    once = similar.near_some(left, repeated, "doc_id", "left_anti")
+    return once.unionByName(similar.near_some(left, repeated, "doc_id").dropDuplicates(["doc_id"]))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     row, times = spare(docs, "row"), spare(docs, "times")
-    # Numbered once and written: a number made at each read would depend on how the read is dealt to tasks.
-    rows = work.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    # A number made at each read would depend on how the read is dealt to tasks; a row's place in its file doesn't.
+    try:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        rows = docs.select("*", place.alias(row))
+    except AnalysisException:  # docs isn't read from files
+        rows = work.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     copies = mixing.mix(rows, work, key=row, mark="doc_id").filter("copies > 0").select(row, F.col("copies").alias(times))
     copies = work.keep(copies, "copies")
-    small = copies.count() <= simhash.BROADCAST_ROWS
+    small = copies.count() <= similar.BROADCAST_ROWS
     taken = rows.join(F.broadcast(copies) if small else copies, row)
     copy = spare(taken, "copy")
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
