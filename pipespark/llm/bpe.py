@@ -29,6 +29,9 @@ from .common import batch, map_batches, text_at
 #: Pre-tokens that a task remembers; about 300 bytes each.
 CACHE = 400_000
 
+#: The same where ids go back to the JVM, whose buffers need the memory more.
+ENCODE_CACHE = 150_000
+
 #: Texts that are turned into Python lists at once.
 _ROWS = 256
 
@@ -92,10 +95,10 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def learn(self, pieces: Iterable[str]) -> None:
+    def learn(self, pieces: Iterable[str], most: int = CACHE) -> None:
         """Puts the ids of pieces into the cache, encoding those that are new in one call."""
         new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
+        if len(self.cache) + len(new) > most:
             self.cache.clear()
             new = list(pieces)
         got = self.model.encode_batch_fast([p.encode().decode("latin-1").translate(self.table) for p in new], add_special_tokens=False)
@@ -165,7 +168,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 part = b.slice(i, _ROWS)
                 texts = [x or "" for x in part.column(place).to_pylist()]
                 found = [codec.pieces(x) for x in texts]
-                codec.learn(set().union(*found))
+                codec.learn(set().union(*found), ENCODE_CACHE)
                 got = [np.fromiter(itertools.chain.from_iterable(map(codec.cache.__getitem__, p)), np.int32) for p in found]
                 at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
                 columns = [*[part.column(k) for k in back], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got)))]

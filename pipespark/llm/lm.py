@@ -2,13 +2,15 @@
 
 A text is its words, A-Z lower-cased, and one end.  The model has STATES latent states; each emits a symbol and then moves.
 Symbols are the most frequent words (at most WORDS of them), one class for each of CLASSES endings for all other words,
-and the end.  A word of a class is drawn from the class by its add-one share, so every word has a probability and the
-probabilities of all texts add up to one.  The scaled forward recursion gives the exact log probability of a whole text.
+and the end.  A word of a class is drawn from the class by its add-one share, so every word has a probability.  A class
+keeps the share of one unseen word, and every unseen word gets it: over all conceivable words the shares add up to more than
+one, as those of the add-one base do.  The scaled forward recursion gives the exact log probability of a whole text.
 
 Training is Baum-Welch.  Word counts of all training texts are made first; then each iteration runs forward-backward over
 every training text, and the tasks' expected counts are added up in the cluster before one table of fixed size
-(symbols x states) comes to the driver.  Starting values come from a bounded sample of texts; every iteration after that
-covers all.  Texts of one batch run side by side, longest first, so that a step is one small matrix product for all of
+(symbols x states) comes to the driver.  Starting values come from a bounded sample, START_DOCS texts of at most START_TOKENS
+tokens; every iteration after that covers all.  What grows with the corpus are the counts, which are of all words; the
+states tell only the WORDS most frequent words apart, however large it is.  Texts of one batch run side by side, longest first, so that a step is one small matrix product for all of
 them; alphas are kept for STEPS steps at a time and made again from the last kept one on the way back, so memory doesn't
 grow with the length of a text.
 

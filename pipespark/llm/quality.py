@@ -33,6 +33,9 @@ TARGET_DOCS = 20_000
 #: N-grams of a text that the registered queries count as independent.
 EVIDENCE = 400
 
+#: Bytes of text whose n-grams are made at once; their arrays take some 50 times as much.
+CHUNK = 1 << 20
+
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _KIND = np.full(256, 2, np.uint8)  # 0: white, 1: word, 2: punctuation
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -74,7 +77,7 @@ def _counts(df: DataFrame) -> np.ndarray:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, data, at in chunks(b.column(0)):
+            for i, j, data, at in chunks(b.column(0), CHUNK):
                 text, bucket = ngrams(data, at)
                 total[0] += np.bincount(bucket, minlength=BUCKETS)
                 total[1] += np.bincount(bucket[target[i:j][text]], minlength=BUCKETS)
@@ -110,7 +113,7 @@ def weigh(df: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, at in chunks(b.column(1)):
+            for i, j, data, at in chunks(b.column(1), CHUNK):
                 text, bucket = ngrams(data, at)
                 n = np.bincount(text, minlength=j - i)
                 w = np.bincount(text, weights=shared.value[bucket], minlength=j - i).astype(np.float64)  # numpy gives int for no n-grams

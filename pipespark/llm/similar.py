@@ -52,7 +52,7 @@ SET_BLOCK, SET_BYTES = 256, 2 << 20
 HUBS, STAR = 8, 1000
 
 #: Ids that are sent to every task; with more of them, the texts are shuffled to meet them.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 #: Texts whose signatures hold a shingle before it is common; the share of common ones from which on a text is grouped, and by how many.
 COMMON, MOSTLY, GROUPS = 64, 0.7, 4
@@ -355,8 +355,8 @@ def sketch_pairs(sigs: DataFrame, work: Workspace, similarity: float, common: in
     met = work.keep(map_batches(dealt, functools.partial(_met, similarity=similarity), "a bigint, b bigint, need int"), "met")
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need")).filter("k >= need").select("a", "b")
     groups = rows.filter("need = 0").select(F.col("s").alias("g"), "id", "c")
-    mixed = groups.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("g")
-    return pairs, groups.join(mixed, "g", "left_semi").select(F.col("g").alias("c"), "id").distinct()
+    mixed = work.keep(groups.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("g"), "mixed")
+    return pairs, near_some(groups, mixed, "g").select(F.col("g").alias("c"), "id").distinct()
 
 
 def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -414,8 +414,7 @@ def similar_groups(df: DataFrame, work: Workspace, key: str = "doc_id", text: st
     given = df.filter(F.col(key).isNotNull())
     marks = work.keep(signatures(given, size, key, text), "signatures")
     points = work.keep(marks.groupBy("h", "g").agg(F.min("id").alias("id")), "distinct")
-    few = points.count() <= BROADCAST_ROWS
-    sigs = work.keep(marks.join(F.broadcast(points) if few else points, ["id", "h", "g"], "left_semi").select("id", "fps", "low", "n", "w"), "distinct-signatures")
+    sigs = work.keep(marks.join(points, ["id", "h", "g"], "left_semi").select("id", "fps", "low", "n", "w"), "distinct-signatures")
     each = sigs.select("id", F.posexplode("fps").alias("p", "fp"))
     # Different texts of one fingerprint are tied to its first; the others don't need to be looked up.
     firsts = work.keep(each.groupBy("p", "fp").agg(F.min("id").alias("id")), "firsts")
