@@ -159,7 +159,7 @@ def compared(df: DataFrame, work: Workspace, key: str = "doc_id", text: str = "t
     narrow = [F.col(c) for c in (key, "n_chars", "edited_sha256", "a", "b", "n", "ea", "eb", "alike")] + [after.alias("after")]
     flat = work.keep(pairs.select(*narrow), "compared")
     strange = flat if shared is not None else flat.filter(~F.col("alike"))
-    hits = work.keep(strange.select(F.col("ea").alias("a"), F.col("eb").alias("b")).distinct().join(marks, ["a", "b"], "left_semi"), "hits")
+    hits = work.keep(strange.select(F.col("ea").alias("a"), F.col("eb").alias("b")).distinct().join(marks.select("a", "b").distinct(), ["a", "b"], "left_semi"), "hits")  # copies are one row before they are dealt
     if not hits.limit(1).count():
         flat = flat.withColumn("en", F.lit(0))
     else:
