@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
+import os
+import pickle
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, map_batches, text_at
+from .common import batch, chunks, map_batches, text_at
 
-#: Pre-tokens that a task remembers; about 300 bytes each.
+#: Pre-tokens that a task remembers; up to 300 bytes each.
 CACHE = 400_000
 
 #: The same where ids go back to the JVM, whose buffers need the memory more.
@@ -35,6 +37,12 @@ ENCODE_CACHE = 150_000
 #: Texts that are turned into Python lists at once.
 _ROWS = 256
 
+#: Bytes of text, or one longer text, whose pieces are Python objects at once where ids go back to the JVM.
+_BYTES = 256 << 10
+
+#: Pieces that the library encodes in one call: until it is read, a result takes far more memory than its ids.
+_PIECES = 1_024
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ``base64 rank`` lines of a rank file on the driver."""
@@ -83,6 +91,7 @@ class Codec:
         import regex
         from tokenizers import Tokenizer, models
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps freed memory of its own
         #: str.translate takes a text of Latin-1 characters, one per byte, to the vocabulary's characters.
         self.table = dict(enumerate(byte_characters()))
         name = lambda x: x.decode("latin-1").translate(self.table)
@@ -90,7 +99,8 @@ class Codec:
         self.bytes_of = byte_strings(vocabulary)
         self.model = Tokenizer(models.BPE(vocabulary, [(name(a), name(b)) for a, b in merges], ignore_merges=True))
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: The ids of a piece as C ints in a row, a fourth of the memory of a tuple of ints.
+        self.cache: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
@@ -101,13 +111,19 @@ class Codec:
         if len(self.cache) + len(new) > most:
             self.cache.clear()
             new = list(pieces)
-        got = self.model.encode_batch_fast([p.encode().decode("latin-1").translate(self.table) for p in new], add_special_tokens=False)
-        self.cache.update(zip(new, (tuple(e.ids) for e in got), strict=True))
+        for i in range(0, len(new), _PIECES):
+            part = new[i : i + _PIECES]
+            got = self.model.encode_batch_fast([p.encode().decode("latin-1").translate(self.table) for p in part], add_special_tokens=False)
+            self.cache.update(zip(part, (array("i", e.ids).tobytes() for e in got), strict=True))
+
+    def known(self, pieces: Iterable[str]) -> array:
+        """The ids of pieces that are in the cache."""
+        return array("i", b"".join(map(self.cache.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
         found = self.pieces(text)
         self.learn(set(found))
-        return [i for p in found for i in self.cache[p]]
+        return self.known(found).tolist()
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """For each id the characters [start, end) of the text that its bytes touch.
@@ -133,17 +149,18 @@ _codecs: dict[str, Codec] = {}
 
 def _codec_of(shared) -> Codec:
     """The worker's codec of a broadcast, known by a digest of the vocabulary; a worker keeps one."""
-    key, *parts = shared.value
+    key, parts = shared.value
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(*parts)
+        _codecs[key] = Codec(*pickle.loads(parts))
     return _codecs[key]
 
 
 def _share(spark: SparkSession, path: str, pattern: str):
     ranks = read_ranks(path)
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
-    return spark.sparkContext.broadcast((key, ranks, merge_pairs(ranks), pattern))
+    # A worker holds on to a broadcast's value, so this is bytes, which take a tenth of the memory of the tables made of them.
+    return spark.sparkContext.broadcast((key, pickle.dumps((ranks, merge_pairs(ranks), pattern))))
 
 
 def _texts(column: pa.Array, rows: int = _ROWS) -> Iterator[list[str]]:
@@ -151,6 +168,22 @@ def _texts(column: pa.Array, rows: int = _ROWS) -> Iterator[list[str]]:
         yield column.slice(i, rows).to_pylist()
 
 
+def _coded(codec: Codec, batches: Iterable[pa.RecordBatch], place: int, back: list[int], names: list[str], check: bool) -> Iterator[pa.RecordBatch]:
+    """The columns ``back`` of batches, the ids of the text at ``place``, and on ``check`` whether they decode to its bytes; some _BYTES of text at once."""
+    for b in batches:
+        for i, j, *_ in chunks(b.column(place), _BYTES):
+            part = b.slice(i, j - i)
+            texts = [x or "" for x in part.column(place).to_pylist()]
+            found = [codec.pieces(x) for x in texts]
+            codec.learn(set().union(*found), ENCODE_CACHE)
+            got = [codec.known(p) for p in found]
+            at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+            columns = [*[part.column(k) for k in back], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got, dtype=np.int32)))]
+            if check:
+                columns.append(pa.array([codec.decode(g) == x.encode() for g, x in zip(got, texts, strict=True)]))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", whole: str | None = None, keep_text: bool = True) -> DataFrame:
     """df with a column of ids (array<int>) after its own; ``whole`` names one more, whether the ids decode to the text's bytes.
     Without ``keep_text`` the text itself isn't sent back."""
@@ -163,18 +196,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec_of(shared)
-        for b in batches:
-            for i in range(0, b.num_rows, _ROWS):
-                part = b.slice(i, _ROWS)
-                texts = [x or "" for x in part.column(place).to_pylist()]
-                found = [codec.pieces(x) for x in texts]
-                codec.learn(set().union(*found), ENCODE_CACHE)
-                got = [np.fromiter(itertools.chain.from_iterable(map(codec.cache.__getitem__, p)), np.int32) for p in found]
-                at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-                columns = [*[part.column(k) for k in back], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got)))]
-                if whole:
-                    columns.append(pa.array([codec.decode(g.tolist()) == x.encode() for g, x in zip(got, texts, strict=True)]))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        yield from _coded(codec, batches, place, back, schema.names, whole is not None)
         codec.cache.clear()  # an idle worker holds no memory
 
     return map_batches(df, run, schema)
@@ -215,7 +237,7 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
                 codec.cache.clear()
                 codec.learn(new)
                 for p in new:
-                    ids = codec.cache[p]
+                    ids = codec.known([p])
                     said[p] = (len(ids), "".join([f"{i} " for i in ids]), codec.decode(ids))
                 for pieces in found:
                     got = [said[p] for p in pieces]

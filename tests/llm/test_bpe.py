@@ -1,4 +1,7 @@
 import hashlib
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 import tiktoken
@@ -58,3 +61,43 @@ def test_query_whole_table(spark, reference):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+#: Encodes one batch of 256 texts of 9 kB, whose words hardly repeat, as a task does; prints the MB that it took beyond what the codec holds.
+LONG = """
+import random, re, sys
+import pyarrow as pa
+from pipespark.llm import bpe, queries
+
+def held(name):
+    return int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+path, pattern = queries.tokenizer_files()
+class Held:
+    pass
+class Here:  # a broadcast is its value
+    sparkContext = property(lambda self: self)
+    def broadcast(self, value):
+        Held.value = value
+        return Held
+class Frame:
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    schema, columns, sparkSession = StructType([StructField("doc_id", LongType()), StructField("text", StringType())]), ["doc_id", "text"], Here()
+    drop = lambda self, *names: self
+bpe.map_batches = lambda df, run, schema: run
+run = bpe.encode(Frame(), path, pattern, whole="same", keep_text=False)
+draw = random.Random(5)
+texts = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(1500)) for _ in range(256)]
+one = lambda rows: iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows})])
+list(run(one(["start"])))
+before = held("VmRSS")
+out = list(run(one(texts)))
+assert sum(b.num_rows for b in out) == 256 and all(x for b in out for x in b.column(2).to_pylist())
+print(held("VmHWM") - before)
+"""
+
+
+def test_memory_of_a_task_is_bounded_by_bytes_of_text():
+    done = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert float(done.stdout) < 120
